@@ -6,9 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import simhash
+from tidemark.llm import linededup, rules, simhash, urlrep
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_line_dedup": linededup.op3_line_dedup,
+    "op5_quality_rules": rules.op5_quality_rules,
     "op7_simhash": simhash.op7_simhash,
+    "op9_url_filters": urlrep.op9_url_filters,
+}
+ORACLE_SQL: dict[str, str] = {
+    "op3_line_dedup": linededup.SQL,
+    "op5_quality_rules": rules.SQL,
+    "op9_url_filters": urlrep.SQL,
 }
-ORACLE_SQL: dict[str, str] = {}
