@@ -6,15 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import linededup, rules, simhash, urlrep
+from tidemark.llm import linededup, packing, rules, simhash, urlrep, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_warc": warc.op2_warc,
     "op3_line_dedup": linededup.op3_line_dedup,
     "op5_quality_rules": rules.op5_quality_rules,
     "op7_simhash": simhash.op7_simhash,
     "op9_url_filters": urlrep.op9_url_filters,
+    "op10_packing": packing.op10_packing,
 }
 ORACLE_SQL: dict[str, str] = {
+    "op2_warc": warc.SQL,
     "op3_line_dedup": linededup.SQL,
     "op5_quality_rules": rules.SQL,
     "op9_url_filters": urlrep.SQL,
