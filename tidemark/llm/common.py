@@ -97,7 +97,8 @@ def opaque(c: Column) -> Column:
 
 
 def lower_ascii(c: Column) -> Column:
-    return F.translate(c, UPPER, LOWER)
+    """A-Z lower-cased; lower() does the same, faster, where all characters are ASCII."""
+    return F.when(F.octet_length(c) == F.length(c), F.lower(c)).otherwise(F.translate(c, UPPER, LOWER))
 
 
 def crc_mod(doc_id: Column, n: int) -> Column:

@@ -7,7 +7,8 @@ a batch meets at most fanout - 1 runs per level. Batches are taken in doc_id ord
 of a key is the smallest doc_id that holds it: a key's lines in any other document are dropped.
 
 Only keys found in a second document (noted when a batch hits a run, or itself) meet the lines
-again. The keys' hash is two 64-bit words; whole lines never leave the scan. Joins are plain
+again. The keys' hash is two 64-bit words; the texts are split into lines once, and of a line only its
+hash and place are written. Joins are plain
 equi-joins between two exchanges, which adaptive execution splits when one line is very frequent.
 
 Defined results. Null text: one empty line. Null doc_id: one document, after every id; its rows stay.
@@ -31,10 +32,6 @@ KEY = ["h1", "h2"]
 RUN = T.StructType([T.StructField("h1", T.LongType()), T.StructField("h2", T.LongType()), T.StructField("owner", T.LongType())])
 
 
-def line_key(line: Column) -> Column:
-    return C.lower_ascii(F.btrim(line, F.lit(C.WS)))
-
-
 class Runs:
     """Levelled runs of (h1, h2, owner), each a Parquet table sorted by hash within its files."""
 
@@ -78,7 +75,8 @@ class Runs:
 def _lines(docs: DataFrame, least: int) -> DataFrame:
     """(did, row_hash, pos, h1, h2) of every line long enough to be compared."""
     rows = docs.select("did", "row_hash", F.posexplode(F.split("body", "\n")).alias("pos", "line"))
-    key = rows.select("did", "row_hash", "pos", line_key(F.col("line")).alias("key")).where(F.length("key") >= least)
+    key = rows.select("did", "row_hash", "pos", F.btrim("line", F.lit(C.WS)).alias("bare")).where(F.length("bare") >= least)
+    key = key.select("did", "row_hash", "pos", C.lower_ascii(F.col("bare")).alias("key"))
     return key.select("did", "row_hash", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"))
 
 
@@ -96,14 +94,15 @@ def dedup_lines(docs: DataFrame, min_code_points: int = MIN_CODE_POINTS, n_batch
     hashed = slim.withColumn("row_hash", F.xxhash64("body"))
     bounds = batch_bounds(docs.select(F.col("doc_id").cast("long").alias("doc_id")), n_batches)
     runs, shared = Runs(spark, path, fanout), []
+    lines = C.materialize(_lines(hashed, min_code_points), f"{path}/lines")
     for low, high in zip([None, *bounds], [*bounds, None], strict=True):
-        part = slim
+        part = lines
         part = part if low is None else part.where(F.col("did") >= low)
         part = part if high is None else part.where(F.col("did") < high)
-        keys = _lines(part.withColumn("row_hash", F.lit(0)), min_code_points).groupBy(*KEY).agg(F.min("did").alias("owner"), (F.min("did") != F.max("did")).alias("shared"))
+        keys = part.groupBy(*KEY).agg(F.min("did").alias("owner"), (F.min("did") != F.max("did")).alias("shared"))
         shared.append(runs.absorb(keys))
     known = C.materialize(reduce(DataFrame.unionByName, shared).groupBy(*KEY).agg(F.min("owner").alias("owner")), f"{path}/shared")
-    drops = _lines(hashed, min_code_points).join(known, KEY).where("did <> owner").groupBy("did", "row_hash").agg(F.collect_set("pos").alias("drop_pos"))
+    drops = lines.join(known, KEY).where("did <> owner").groupBy("did", "row_hash").agg(F.collect_set("pos").alias("drop_pos"))
     out = docs.withColumns({"__did": F.coalesce(F.col("doc_id").cast("long"), F.lit(C.LAST_ID)), "__body": F.coalesce(F.col("text").cast("string"), F.lit(""))}).withColumn("__hash", F.xxhash64("__body"))
     out = out.join(drops, (out["__did"] == drops["did"]) & (out["__hash"] == drops["row_hash"]), "left").drop("did", "row_hash")
     n_lines = F.length("__body") - F.length(F.replace("__body", F.lit("\n"), F.lit(""))) + 1
