@@ -1,7 +1,8 @@
 """Quality classifier: supervised subword embeddings.
 
-A document is the average of learned vectors of its hashed word unigrams and bigrams and of its
-character n-grams; a softmax over two classes is put on the average. Vectors and output weights are
+A document is the average of learned vectors of its hashed word unigrams and bigrams, of its word
+n-grams that end as they began (one bucket per length, so repetition is seen whatever the word), and of
+its character n-grams; a softmax over two classes is put on the average. Vectors and output weights are
 trained together by numpy stochastic gradient descent on a bounded, hash-ordered sample of labelled
 rows (`max_train`); all rows are scored, over whole texts. At scoring time the output layer is
 folded into the vectors, which is the same arithmetic and leaves one number per bucket.
@@ -32,6 +33,7 @@ FOLDS, THRESHOLD = 5, 0.3
 MAX_TRAIN = 4000
 BUCKETS, DIM, EPOCHS, RATE, BATCH, SEED = 1 << 17, 16, 6, 0.5, 32, 7
 CHAR_NGRAMS = (3, 4)
+REPEAT_LAG = 3
 BLOCK_CHARS = 1 << 19
 _MULT = np.uint32(2654435761)
 _IS_SPACE = np.zeros(128, bool)
@@ -78,6 +80,10 @@ def features(texts: list[str], buckets: int = BUCKETS) -> tuple[np.ndarray, np.n
         pair = owner[at[1:]] == owner[at[:-1]]
         out.append(_mix((word[:-1] * np.uint32(0x01000193) + word[1:])[pair], 102, buckets))
         own.append(owner[at[:-1]][pair])
+        for lag in range(1, REPEAT_LAG + 1):  # a word n-gram that ends as it began, whatever the word
+            same = (word[lag:] == word[:-lag]) & (owner[at[lag:]] == owner[at[:-lag]])
+            out.append(_mix(np.full(int(same.sum()), lag, np.uint32), 103, buckets))
+            own.append(owner[at[lag:]][same])
     return np.concatenate(out), np.concatenate(own)
 
 
