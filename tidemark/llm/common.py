@@ -175,32 +175,26 @@ def group_starts(t: pa.Table, keys: list[str]) -> np.ndarray:
 
 
 class Forest:
-    """Union-find over a task's own nodes; edges() is a spanning star per component."""
-
-    def __init__(self) -> None:
-        self.up: dict[int, int] = {}
-
-    def root(self, x: int) -> int:
-        up = self.up
-        r = x
-        while (y := up.get(r, r)) != r:
-            r = y
-        while (y := up.get(x, x)) != r:
-            up[x], x = r, y
-        return r
-
-    def link(self, a: int, b: int) -> None:
-        a, b = self.root(a), self.root(b)
-        if a != b:
-            if a > b:
-                a, b = b, a
-            self.up[b] = a
-            self.up.setdefault(a, a)
-
-    def edges(self) -> tuple[list[int], list[int]]:
-        pairs = [(self.root(x), x) for x in self.up]
-        pairs = [p for p in pairs if p[0] != p[1]]
-        return [p[0] for p in pairs], [p[1] for p in pairs]
+    """Union-find over n nodes for arrays of links: label[i] is the smallest node of i's component."""
+
+    def __init__(self, n: int) -> None:
+        self.label = np.arange(n)
+
+    def link(self, i: np.ndarray, j: np.ndarray) -> None:
+        label = self.label
+        while len(i):
+            a, b = label[i], label[j]
+            apart = a != b
+            i, j, a, b = i[apart], j[apart], a[apart], b[apart]
+            np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
+            while not np.array_equal(up := label[label], label):
+                label = up
+        self.label = label
+
+    def edges(self) -> tuple[np.ndarray, np.ndarray]:
+        """A spanning star per component."""
+        at = np.flatnonzero(self.label != np.arange(len(self.label)))
+        return self.label[at], at
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

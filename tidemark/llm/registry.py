@@ -6,17 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import linededup, packing, rules, simhash, urlrep, warc
+from tidemark.llm import embdedup, linededup, packing, quality, rules, simhash, urlrep, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_embedding_dedup": embdedup.op1_embedding_dedup,
     "op2_warc": warc.op2_warc,
     "op3_line_dedup": linededup.op3_line_dedup,
+    "op4_quality_classifier": quality.op4_quality_classifier,
     "op5_quality_rules": rules.op5_quality_rules,
     "op7_simhash": simhash.op7_simhash,
     "op9_url_filters": urlrep.op9_url_filters,
     "op10_packing": packing.op10_packing,
 }
 ORACLE_SQL: dict[str, str] = {
+    "op1_embedding_dedup": embdedup.SQL,
     "op2_warc": warc.SQL,
     "op3_line_dedup": linededup.SQL,
     "op5_quality_rules": rules.SQL,

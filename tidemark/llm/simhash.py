@@ -149,13 +149,12 @@ def linker(radius: int):
             if not len(fps):
                 continue
             last = np.repeat(np.cumsum(size) - 1, size)
-            forest = C.Forest()
+            forest = C.Forest(len(fps))
             for i, j in sliced_pairs(fps, last, radius):
-                for a, b in zip(fps[i].view(np.int64).tolist(), fps[j].view(np.int64).tolist(), strict=True):
-                    forest.link(a, b)
-            src, dst = forest.edges()
-            if src:
-                yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], ["src", "dst"])
+                forest.link(i, j)
+            i, j = forest.edges()
+            if len(i):
+                yield pa.RecordBatch.from_arrays([pa.array(fps[x].view(np.int64)) for x in (i, j)], ["src", "dst"])
 
     return run
 
