@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import embdedup, linededup, packing, quality, rules, simhash, urlrep, warc
+from tidemark.llm import embdedup, linededup, lm, packing, quality, rules, simhash, urlrep, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embedding_dedup": embdedup.op1_embedding_dedup,
@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_line_dedup": linededup.op3_line_dedup,
     "op4_quality_classifier": quality.op4_quality_classifier,
     "op5_quality_rules": rules.op5_quality_rules,
+    "op6_lm_scoring": lm.op6_lm_scoring,
     "op7_simhash": simhash.op7_simhash,
     "op9_url_filters": urlrep.op9_url_filters,
     "op10_packing": packing.op10_packing,
