@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import embdedup, linededup, lm, packing, quality, rules, simhash, urlrep, warc
+from tidemark.llm import embdedup, linededup, lm, packing, quality, rules, simhash, spsample, urlrep, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embedding_dedup": embdedup.op1_embedding_dedup,
@@ -16,6 +16,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_quality_rules": rules.op5_quality_rules,
     "op6_lm_scoring": lm.op6_lm_scoring,
     "op7_simhash": simhash.op7_simhash,
+    "op8_sentencepiece": spsample.op8_sentencepiece,
     "op9_url_filters": urlrep.op9_url_filters,
     "op10_packing": packing.op10_packing,
 }
