@@ -1,8 +1,8 @@
 """Best-fit packing of token pieces into fixed-length sequences, after a dominance reduction.
 
 1. `token_pieces`: each document's ids, an end id, cut into capacity-long pieces if longer, the first
-   piece taking the remainder. Pretokens are looked up in a bounded cache of their ids, so equal ones
-   are encoded once per task.
+   piece taking the remainder. Pretokens are looked up in a bounded cache of their ids, so that
+   equal ones are encoded once.
 2. The instance is its histogram of lengths: at most `capacity` counts, however many documents there
    are. `reduce_dominated` fixes, a length class at a time, sets that provably dominate every other
    set with their largest piece (Martello and Toth): a piece that nothing can join; a pair that fills the
@@ -42,8 +42,35 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+def byte_letters() -> dict[int, str]:
+    """The printable stand-ins of bytes in a byte-level vocabulary: printable Latin-1 bytes stand for
+    themselves, the others, in order, for the characters from 256."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
+class Known(dict):
+    """Ids of a pretoken, as little-endian unsigned 32-bit bytes; the tokenizer's model is asked once."""
+
+    def __init__(self, model, most: int) -> None:
+        super().__init__()
+        self.tokenize, self.most, self.letters = model.tokenize, most, byte_letters()
+
+    def __missing__(self, word: str) -> bytes:
+        got = b"".join(x.id.to_bytes(4, "little") for x in self.tokenize(word.encode().decode("latin-1").translate(self.letters)))
+        if len(self) >= self.most:
+            self.clear()
+        self[word] = got
+        return got
+
+
 class Encoder:
-    """Ids of whole texts as little-endian unsigned 32-bit bytes."""
+    """Ids of whole texts as little-endian unsigned 32-bit bytes.
+
+    Texts are cut into pretokens, many at once, by the classes of their characters: runs of letters, of
+    numbers or of other signs, each with one space before it, and white space but for its last character
+    before such a run. Texts with an apostrophe (contractions) are cut by the tokenizer's own pattern."""
 
     def __init__(self, path: str, cached: int = CACHED) -> None:
         import public_tokenizers
@@ -53,18 +80,49 @@ class Encoder:
         self.t = Tokenizer.from_file(path)
         self.findall = regex.compile(public_tokenizers.PATTERN).findall
         self.special = [x.content for x in self.t.get_added_tokens_decoder().values()]
-        self.ids: dict[str, bytes] = {}
-        self.cached = cached
+        self.ids = Known(self.t.model, cached)
+        every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+        self.kind = np.full(0x110000, 3, np.uint8)
+        for k, pattern in enumerate((r"\s", r"\p{L}", r"\p{N}")):
+            self.kind[np.frombuffer("".join(regex.findall(pattern, every)).encode("utf-32-le"), "<u4")] = k
+
+    def pretokens(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
+        """The pretokens of non-empty texts without apostrophes, and their number per text."""
+        flat = "".join(texts)
+        c = np.frombuffer(flat.encode("utf-32-le"), "<u4")
+        kind = self.kind[c]
+        space = kind == 0
+        ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))
+        start = np.empty(len(c), bool)
+        # a sign after another kind of sign, or after white space that is not joined to it
+        start[1:] = np.where(space[1:], ~space[:-1], np.where(space[:-1], c[:-1] != 32, kind[1:] != kind[:-1]))
+        before_sign = np.zeros(len(c), bool)
+        before_sign[:-1] = ~space[1:]
+        before_sign[ends - 1] = False
+        start |= space & before_sign
+        start[np.concatenate(([0], ends[:-1]))] = True
+        at = np.flatnonzero(start)
+        cuts = at.tolist()
+        return [flat[a:b] for a, b in zip(cuts, [*cuts[1:], len(flat)], strict=True)], np.diff(np.searchsorted(at, np.concatenate(([0], ends))))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        words = [None if any(s in x for s in self.special) else self.findall(x) for x in texts]
-        if len(self.ids) > self.cached:
-            self.ids.clear()
-        new = list({w for ws in words if ws is not None for w in ws if w not in self.ids})
-        for w, e in zip(new, self.t.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.ids[w] = np.asarray(e.ids, "<u4").tobytes()
+        out = [b""] * len(texts)
         get = self.ids.__getitem__
-        return [np.asarray(self.t.encode(x, add_special_tokens=False).ids, "<u4").tobytes() if ws is None else b"".join(map(get, ws)) for x, ws in zip(texts, words, strict=True)]
+        plain = []
+        for i, x in enumerate(texts):
+            if any(s in x for s in self.special):
+                out[i] = np.asarray(self.t.encode(x, add_special_tokens=False).ids, "<u4").tobytes()
+            elif "'" in x:
+                out[i] = b"".join(map(get, self.findall(x)))
+            elif x:
+                plain.append(i)
+        if plain:
+            words, n = self.pretokens([texts[i] for i in plain])
+            ids = list(map(get, words))
+            stop = np.cumsum(n).tolist()
+            for i, a, b in zip(plain, [0, *stop], stop, strict=False):
+                out[i] = b"".join(ids[a:b])
+        return out
 
 
 _encoders: dict[str, Encoder] = {}
@@ -84,8 +142,8 @@ def _piece_batches(path: str, capacity: int, end_id: int, with_ids: bool):
         enc = _encoders.get(path) or _encoders.setdefault(path, Encoder(path))
         end = np.asarray([end_id], "<u4").tobytes()
         for b in batches:
-            for k in range(0, b.num_rows, 500):
-                part = b.slice(k, 500)
+            for k in range(0, b.num_rows, 250):
+                part = b.slice(k, 250)
                 out = defaultdict(list)
                 for doc, ids in zip(part.column(0).to_pylist(), enc.encode([t or "" for t in part.column(1).to_pylist()]), strict=True):
                     ids += end
