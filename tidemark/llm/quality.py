@@ -122,7 +122,7 @@ class Model:
 def train(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, buckets: int = BUCKETS) -> Model:
     """rows: per document its distinct buckets and their share of its features; labels 0 or 1."""
     rng = np.random.default_rng(SEED)
-    y = labels.astype(np.int64)
+    y = np.asarray(labels, np.int64)
     if len(y) == 0 or y.min() == y.max():
         p = float(y.mean()) if len(y) else 0.5
         return Model(np.zeros(buckets, np.float32), float(np.log((p + 1e-3) / (1 - p + 1e-3))))
@@ -176,9 +176,12 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Model
         for p in it:
             yield pd.concat([p[["doc_id", "label"]].reset_index(drop=True), _counted(p["text"])], axis=1)
 
-    got = chosen.repartition(4).mapInPandas(counted, "doc_id long, label int, ids array<int>, shares array<float>").collect()
-    got.sort(key=lambda r: (r.doc_id, r.label, len(r.ids)))
-    return train([(np.array(r.ids, np.int64), np.array(r.shares, np.float32)) for r in got], np.array([r.label for r in got], np.int64))
+    got = chosen.repartition(4).mapInPandas(counted, "doc_id long, label int, ids array<int>, shares array<float>").toArrow().combine_chunks()
+    ids, shares = got.column("ids"), got.column("shares")
+    views = [(ids[i].values.to_numpy(), shares[i].values.to_numpy()) for i in range(got.num_rows)]  # no copies
+    labels_of = got.column("label").to_numpy()
+    order = sorted(range(got.num_rows), key=lambda i: (got.column("doc_id")[i].as_py(), labels_of[i], len(views[i][0])))
+    return train([views[i] for i in order], labels_of[order])
 
 
 def score_documents(docs: DataFrame, model: Model) -> DataFrame:
