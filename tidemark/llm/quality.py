@@ -165,18 +165,22 @@ def _counted(texts: pd.Series) -> pd.DataFrame:
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Model:
-    """Learn labels(doc_id, label 0/1) from the training folds of docs(doc_id, text): of the rows that carry a
-    label, the max_train with the smallest hash of doc_id."""
+    """Learn labels(doc_id, label 0/1) from the training folds of docs(doc_id, text): of the ids that carry a
+    label, the max_train with the smallest hash; rows that repeat an id train once, on the smallest text."""
     known = labels.where("doc_id is not null and label in (0, 1)").where(C.crc_mod(F.col("doc_id"), FOLDS) != 0).select("doc_id", "label")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(known, "doc_id")
-    chosen = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(max_train)
+    # the sample is drawn from ids alone; its texts are then picked out in one scan. At most max_train rows are broadcast
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).distinct().join(known, "doc_id")
+    drawn = ids.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(max_train).toPandas()
+    sample = docs.sparkSession.createDataFrame(drawn, "doc_id long, label int")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    chosen = texts.join(F.broadcast(sample), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
     C.ship(docs.sparkSession)
 
     def counted(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in it:
             yield pd.concat([p[["doc_id", "label"]].reset_index(drop=True), _counted(p["text"])], axis=1)
 
-    got = chosen.repartition(4).mapInPandas(counted, "doc_id long, label int, ids array<int>, shares array<float>").toArrow().combine_chunks()
+    got = chosen.mapInPandas(counted, "doc_id long, label int, ids array<int>, shares array<float>").toArrow().combine_chunks()
     ids, shares = got.column("ids"), got.column("shares")
     views = [(ids[i].values.to_numpy(), shares[i].values.to_numpy()) for i in range(got.num_rows)]  # no copies
     labels_of = got.column("label").to_numpy()
