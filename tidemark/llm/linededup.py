@@ -102,20 +102,20 @@ def dedup_lines(docs: DataFrame, min_code_points: int = MIN_CODE_POINTS, n_batch
         keys = part.groupBy(*KEY).agg(F.min("did").alias("owner"), (F.min("did") != F.max("did")).alias("shared"))
         shared.append(runs.absorb(keys))
     known = C.materialize(reduce(DataFrame.unionByName, shared).groupBy(*KEY).agg(F.min("owner").alias("owner")), f"{path}/shared")
-    drops = lines.join(known, KEY).where("did <> owner").groupBy("did", "row_hash").agg(F.collect_set("pos").alias("drop_pos"))
+    drops = lines.join(known, KEY).where("did <> owner").groupBy(F.col("did").alias("__drop_did"), F.col("row_hash").alias("__drop_hash")).agg(F.collect_set("pos").alias("__drop"))
     out = docs.withColumns({"__did": F.coalesce(F.col("doc_id").cast("long"), F.lit(C.LAST_ID)), "__body": F.coalesce(F.col("text").cast("string"), F.lit(""))}).withColumn("__hash", F.xxhash64("__body"))
-    out = out.join(drops, (out["__did"] == drops["did"]) & (out["__hash"] == drops["row_hash"]), "left").drop("did", "row_hash")
+    out = out.join(drops, (F.col("__did") == F.col("__drop_did")) & (F.col("__hash") == F.col("__drop_hash")), "left")
     n_lines = F.length("__body") - F.length(F.replace("__body", F.lit("\n"), F.lit(""))) + 1
-    out = out.withColumns({"n_lines": n_lines.cast("long"), "n_dropped": F.when(F.col("drop_pos").isNull(), F.lit(0)).otherwise(F.size("drop_pos")).cast("long")})
-    return _kept(out).drop("__did", "__body", "__hash", "drop_pos", "__lines")
+    out = out.withColumns({"n_lines": n_lines.cast("long"), "n_dropped": F.when(F.col("__drop").isNull(), F.lit(0)).otherwise(F.size("__drop")).cast("long")})
+    return _kept(out).drop("__did", "__body", "__hash", "__drop_did", "__drop_hash", "__drop", "__lines")
 
 
 def _kept(out: DataFrame) -> DataFrame:
     """kept_text: positions left after a hashed array difference pick the lines, in linear time."""
-    out = out.withColumn("__lines", F.when(F.col("drop_pos").isNotNull(), F.split("__body", "\n")))
-    left = F.array_except(F.sequence(F.lit(0), (F.col("n_lines") - 1).cast("int")), F.col("drop_pos"))
+    out = out.withColumn("__lines", F.when(F.col("__drop").isNotNull(), F.split("__body", "\n")))
+    left = F.array_except(F.sequence(F.lit(0), (F.col("n_lines") - 1).cast("int")), F.col("__drop"))
     kept = F.array_join(F.transform(left, lambda i: F.get(F.col("__lines"), i)), "\n")
-    return out.withColumn("kept_text", F.when(F.col("drop_pos").isNull(), F.col("__body")).otherwise(kept))
+    return out.withColumn("kept_text", F.when(F.col("__drop").isNull(), F.col("__body")).otherwise(kept))
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

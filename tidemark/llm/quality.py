@@ -203,9 +203,11 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
     return docs.withColumn("score", score(F.col("text").cast("string")))
 
 
-def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """docs with score, held_out and predicted; labels: (doc_id, label)."""
-    scored = score_documents(docs.drop("score", "held_out", "predicted"), fit(docs, labels))
+def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, training: DataFrame | None = None) -> DataFrame:
+    """docs with score, held_out and predicted, by what the rows of training (docs itself, if None) say; labels:
+    (doc_id, label)."""
+    model = fit(docs if training is None else training, labels)
+    scored = score_documents(docs.drop("score", "held_out", "predicted"), model)
     return scored.withColumns({"held_out": C.crc_mod(F.col("doc_id"), FOLDS) == 0, "predicted": (F.col("score") >= threshold).cast("int")})
 
 

@@ -87,7 +87,10 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
         "n_stop_words": F.size(F.filter(w, lambda x: F.lower(x).isin(*STOP_WORDS))),
         "n_text_lines": F.size("__l"),
     }
-    return d.withColumns({k: v.cast("long") for k, v in out.items()}).drop("__t", "__b", "__w", "__n", "__g", "__l")
+    # inline() of one row: a filter on a measure stays above it. Pushed below, it would put the arrays'
+    # expressions where each element computes them again
+    kept = [F.col(f"`{c}`") for c in docs.columns if c not in MEASURES]
+    return d.select(*kept, F.inline(F.array(F.struct(*[v.cast("long").alias(k) for k, v in out.items()]))))
 
 
 def _ratio(t: Threshold) -> Column:

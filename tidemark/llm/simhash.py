@@ -51,14 +51,17 @@ def simhash(words: list[bytes], width: int = WIDTH) -> int:
 
 def _hash_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        fp = np.array([simhash((t or "").encode().lower().split()) for t in b.column(1).to_pylist()], dtype=np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp, pa.int64())], ["doc_id", "fp"])
+        fp = np.array([simhash((t or "").encode().lower().split()) for t in b.column("text").to_pylist()], dtype=np.uint64).view(np.int64)
+        b = b.drop_columns(["text"])
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fp, pa.int64())], [*b.schema.names, "fp"])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp): the fingerprint's 64 bits as a signed long."""
+def fingerprints(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, carried long columns, fp): the fingerprint's 64 bits as a signed long."""
     C.ship(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_hash_batches, "doc_id long, fp long")
+    kept = [F.col(c).cast("long").alias(c) for c in ("doc_id", *carry)]
+    schema = ", ".join(f"`{c}` long" for c in ("doc_id", *carry, "fp"))
+    return docs.select(*kept, F.col("text").cast("string").alias("text")).mapInArrow(_hash_batches, schema)
 
 
 def block_masks(radius: int) -> list[int]:
@@ -172,18 +175,30 @@ def link_classes(classes: DataFrame, path: str, radius: int = RADIUS, tile_rows:
     return dealt.mapInArrow(linker(radius), "src long, dst long")
 
 
-def near_duplicates(docs: DataFrame, radius: int = RADIUS, tile_rows: int = TILE_ROWS) -> DataFrame:
-    """(doc_id, fp, component_id) per row of docs(doc_id, text)."""
+def near_duplicates(docs: DataFrame, radius: int = RADIUS, tile_rows: int = TILE_ROWS, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, carried long columns, fp, component_id) per row of docs(doc_id, text)."""
     spark: SparkSession = docs.sparkSession
     path = C.workspace(spark, "simhash")
-    rows = C.materialize(fingerprints(docs), f"{path}/rows")
+    rows = C.materialize(fingerprints(docs, carry), f"{path}/rows")
     classes = C.materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("low")), f"{path}/classes")
     comp = C.connected_components(link_classes(classes, path, radius, tile_rows), f"{path}/components")
     comp = C.materialize(comp, f"{path}/membership")
     merged = classes.join(comp, classes.fp == comp.node, "left").select("fp", "low", F.coalesce("component", "fp").alias("comp"))
     low = merged.groupBy("comp").agg(F.min("low").alias("component_id"))
     named = C.materialize(merged.select("fp", "comp").join(low, "comp").select("fp", "component_id"), f"{path}/named")
-    return rows.join(named, "fp").select("doc_id", "fp", "component_id")
+    return rows.join(named, "fp").select("doc_id", *carry, "fp", "component_id")
+
+
+def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """The rows of docs that stand for their group: the one with the smallest doc_id (null: last), then the
+    smallest hash of its text; of rows equal in both, one."""
+    key = {"__did": F.coalesce(F.col("doc_id").cast("long"), F.lit(C.LAST_ID)), "__hash": F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))}
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), "doc_id", "text").withColumns(key)
+    found = near_duplicates(rows.select("doc_id", "text", *key), radius, carry=("__did", "__hash"))
+    # a component without any id is named by nothing: each of its fingerprints is grouped by itself
+    group = F.coalesce(F.col("component_id"), F.lit(C.LAST_ID)), F.when(F.col("component_id").isNull(), F.col("fp"))
+    best = found.groupBy(group[0].alias("g"), group[1].alias("f")).agg(F.min(F.struct("__did", "__hash")).alias("b")).select("b.*").distinct()
+    return rows.join(best, list(key), "left_semi").groupBy(*key).agg(F.first("__row").alias("__row")).select("__row.*")
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
