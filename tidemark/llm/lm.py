@@ -36,7 +36,7 @@ FOLDS, ADD = 10, 0.1
 N_HEAD, N_TAIL = 703, 320
 N_CLASSES = 1 + N_HEAD + N_TAIL
 MOST_CACHED = 1 << 17
-DIM, STEPS, RATE, NOISE, SEED = 32, 160, 0.05, 10.0, 11
+DIM, STEPS, RATE, DECAY, NOISE, SEED = 32, 160, 0.05, 1e-5, 10.0, 11
 #: Distinct words that a counting task holds before it passes them on.
 HELD_WORDS = 400_000
 
@@ -117,7 +117,7 @@ def train(counts: np.ndarray) -> np.ndarray:
     """(N, N) log10 P(next | previous) from bigram counts, by noise-contrastive estimation.
 
     The objective is sum n(c, w) log s(c, w) + NOISE sum n(c) p(w) log (1 - s(c, w)), s the logistic of the
-    score less log NOISE p(w), over all pairs; ascended by Adam."""
+    score less log NOISE p(w), over all pairs, less DECAY / 2 times the squares of r and q; ascended by Adam."""
     size = len(counts)
     total = max(1.0, counts.sum())
     noise = counts.sum(axis=0) + 0.5
@@ -131,7 +131,7 @@ def train(counts: np.ndarray) -> np.ndarray:
     for step in range(1, STEPS + 1):
         s = 1 / (1 + np.exp(np.clip(shift - p["b"] - p["r"] @ p["q"].T, -30, 30)))
         g = data * (1 - s) - expected * s
-        grads = {"r": g @ p["q"], "q": g.T @ p["r"], "b": g.sum(axis=0)}
+        grads = {"r": g @ p["q"] - DECAY * p["r"], "q": g.T @ p["r"] - DECAY * p["q"], "b": g.sum(axis=0)}
         rate = RATE * (1 - (step - 1) / STEPS)
         for k, x in grads.items():
             m[k] += 0.1 * (x - m[k])
