@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from tidemark.plans import queries_changes, queries_index, queries_policy, queries_quality, queries_retrieval
+from tidemark.plans.registry import ORACLE_SQL, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
-
-FLAGSHIP = "lexical_topk"
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+FLAGSHIP = "hybrid_context"
+__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES", "queries_changes", "queries_index", "queries_policy", "queries_quality", "queries_retrieval"]
