@@ -45,13 +45,12 @@ def kind_of_source_response(status: Column, remaining: Column, retry_after_ms: C
 def retry_after_ms(header: Column, now_ms: Column) -> Column:
     """Delay-seconds or an HTTP date, else null."""
     t = F.btrim(header)
-    # parse_url-free: the date form begins with a weekday, which the pattern skips
     date = F.try_to_timestamp(F.regexp_extract(t, r"^[A-Za-z]{3}, (\d{2} [A-Za-z]{3} \d{4} \d{2}:\d{2}:\d{2}) GMT$", 1), F.lit("dd MMM yyyy HH:mm:ss"))
     return F.when(F.rlike(t, F.lit(r"^\d+$")), t.try_cast("long") * 1000).when(date.isNotNull(), F.greatest(F.lit(0), F.unix_millis(date) - now_ms)).cast("long")
 
 
 def source_wait_ms(kind: Column, status: Column, after_ms: Column, remaining: Column, reset_seconds: Column, now_ms: Column) -> Column:
-    reset = F.when((remaining == "0") & (reset_seconds > 0), F.greatest(F.lit(0), reset_seconds * 1000 - now_ms))
+    reset = F.when((remaining == "0") & (reset_seconds > 0), F.greatest(F.lit(0), reset_seconds.cast("long") * 1000 - now_ms))
     return F.when(kind == "rate_limit", F.coalesce(after_ms, reset, F.when(status == 403, SECONDARY_LIMIT_MS))).cast("long")
 
 
