@@ -34,7 +34,7 @@ from tidemark.llm import common as C
 MODEL = "piece_bpe_32k.model"
 ALPHA, SEED, NULL_KEY = 1.0, 2024, -1
 MARK = "▁"
-BLOCK_CHARS = 1 << 20
+BLOCK_CHARS = 1 << 21
 #: Bits of the table that tells which hashes can be pieces.
 SIEVE_BITS = 21
 _BASE = np.uint64(0x100000001B3)
@@ -87,18 +87,20 @@ class Sampler:
         self.find = re.compile(f" +[^ {split}]*" + (f"|[{split}]" if split else "") + f"|[^ {split}]+").findall
         assert not any(MARK in x.lstrip(MARK) for x in names), "pieces cross words"
         self.tables: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        self.sieve = np.zeros(1 << SIEVE_BITS, np.uint8)
+        self.sieve = np.zeros(1 << SIEVE_BITS, np.uint8)  # bit 0: can be a piece; bit 1: can begin a longer one
         for size in range(1, max(map(len, names)) + 1):
             at = [k for k, x in enumerate(names) if len(x) == size]
             h = np.zeros(len(at), _U)
             if at:
                 cps = np.array([[ord(c) for c in names[k].replace(MARK, " ")] for k in at], _U)
                 for c in range(size):
+                    if c:
+                        self.sieve[self._slot(h, c)] |= 2
                     h = h * _BASE + cps[:, c] + _U(1)
             order = np.argsort(h)
             assert len(np.unique(h)) == len(h), "piece hashes collide"
             self.tables.append((h[order], np.array(ids, np.int64)[np.array(at, np.int64)][order], logp[np.array(at, np.int64)][order]))
-            self.sieve[self._slot(h, size)] = 1
+            self.sieve[self._slot(h, size)] |= 1
 
     @staticmethod
     def _slot(h: np.ndarray, size: int) -> np.ndarray:
@@ -122,14 +124,17 @@ class Sampler:
             if not len(at):
                 break
             h = h * _BASE + cu[at + size - 1]
-            hit = np.flatnonzero(self.sieve[self._slot(h, size)]) if len(hashes) else np.zeros(0, np.int64)
+            can = self.sieve[self._slot(h, size)]
+            hit = np.flatnonzero(can & 1) if len(hashes) else np.zeros(0, np.int64)
             k = np.searchsorted(hashes, h[hit])
             good = hashes[np.minimum(k, len(hashes) - 1)] == h[hit] if len(hashes) else np.zeros(0, bool)
             hit, k = hit[good], k[good]
             if size == 1:  # marks of the text itself are no pieces
                 odd = c[at[hit]] == ord(MARK)
                 hit, k = hit[~odd], k[~odd]
-                miss = np.setdiff1d(at, at[hit], assume_unique=True)
+                miss = np.ones(len(c), bool)
+                miss[at[hit]] = False
+                miss = np.flatnonzero(miss)
                 s = miss + own[miss]
                 start.append(s)
                 end.append(s + 1)
@@ -140,6 +145,8 @@ class Sampler:
             end.append(s + size)
             piece.append(ids[k])
             lp.append(weights[k])
+            longer = np.flatnonzero(can & 2)
+            at, h = at[longer], h[longer]
         start, end, piece, lp = (np.concatenate(x) for x in (start, end, piece, lp))
         order = np.argsort(end, kind="stable")
         start, end, piece, lp = start[order], end[order], piece[order], lp[order]
@@ -147,6 +154,7 @@ class Sampler:
         first_state = np.concatenate(([0], ends[:-1])) + np.arange(len(chunks))
         state_chunk = np.repeat(np.arange(len(chunks)), lens + 1)
         place = end - first_state[state_chunk[end]]
+        place = place.astype(np.uint16) if lens.max() < 1 << 16 else place  # short keys sort by radix
         by = np.argsort(place, kind="stable")
         alpha = np.zeros(len(c) + len(chunks))
         bounds = np.searchsorted(place[by], np.arange(1, lens.max() + 2))
@@ -287,8 +295,8 @@ def _digests(path: str, alpha: float, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = sampler(path, alpha, seed)
         for b in batches:
-            for k in range(0, b.num_rows, 1000):
-                part = b.slice(k, 1000)
+            for k in range(0, b.num_rows, 2000):
+                part = b.slice(k, 2000)
                 texts = part.column(1).to_pylist()
                 ids = s.encode(part.column(0).to_pylist(), texts, verify=False)
                 same = [s.decode(x) == (t or "") if len(x) else not t for x, t in zip(ids, texts, strict=True)]
