@@ -236,3 +236,65 @@ def test_stream(spark, tmp_path):
         refresh.start(spark.readStream.schema(schema).parquet(str(src)), root, f"{tmp_path}/cp", once=True).awaitTermination()
         got = {r.path: r.content for r in store.open_index(spark, root).tables["files"].collect()}
         assert got == [{"a": "1", "b": "1"}, {"a": "2", "c": "3"}][k]
+
+
+def test_answers_are_cached(spark, tmp_path):
+    from tidemark.plans import ports, review
+
+    files = spark.createDataFrame([(0, "a.ts", None, "modified", 1, 0, 1, "@@ -1 +1 @@\n+x")], changes.FILES)
+    seen = []
+    run = lambda m: review.review(spark, {}, files, m, mode="diff", cache=f"file://{tmp_path}/cache", events=seen.append)
+    model = ports.RuleModel([("x", r"\+x")])
+    first, again = run(model), run(model)
+    assert (first["usage"]["cache_hits"], again["usage"]["cache_hits"]) == (0, 1)
+    assert first["findings"] == again["findings"] and len(first["findings"]) == 1
+    assert {e["stage"] for e in seen} == {"analyze", "finalize"}
+
+
+def test_refresh(spark, tmp_path):
+    from tidemark.plans import indexing, ports
+
+    root = f"file://{tmp_path}/index"
+    scan = lambda rows: spark.createDataFrame([(p, len(c), 1, c) for p, c in rows.items()], "path string, size long, mtime_ms long, content string")
+    one = {f"f{i}.py": f"line {i}\n" * 5 for i in range(12)} | {"same.py": "line 3\n" * 5, "s.ts": "export function f() {\n  return 1;\n}\n"}
+    a = ports.HashEmbedding()
+    got = indexing.refresh(spark, scan(one), root, "repo", "r1", 40, a)
+    assert (got["previous"], got["files_added"], got["vectors_created"]) == ("none", 14, store.open_index(spark, root).tables["vectors"].count())
+    two = {k: v for k, v in one.items() if k != "f0.py"} | {"f1.py": "changed\n", "g.py": "new\n"}
+    got = indexing.refresh(spark, scan(two), root, "repo", "r2", 40, a)
+    assert (got["previous"], got["files_unchanged"], got["files_modified"], got["files_added"], got["files_deleted"]) == ("reused", 12, 1, 1, 1)
+    assert (got["vectors_created"], got["chunks_created"]) == (2, 2)
+    opened = store.open_index(spark, root)
+    assert {r.revision for r in opened.tables["chunks"].collect()} == {"r2"}
+    again = indexing.refresh(spark, scan(two), root, "repo", "r3", 40, a)
+    assert again["vectors_created"] == 0 and again["files_unchanged"] == 14
+    numbered = indexing.context_chunks(store.open_index(spark, root))
+    assert sorted(r.ordinal for r in numbered.collect()) == list(range(numbered.count()))
+    files, chunks = indexing.adopt(opened.tables["files"], opened.tables["chunks"], "other", "r2")
+    from tidemark.operators import reconcile
+
+    assert reconcile.structure_issues(files, chunks, "other", "r2").count() == 0
+
+
+def test_refresh_keeps_paid_vectors(spark, tmp_path):
+    from tidemark.plans import indexing, ports
+
+    root, limit = f"file://{tmp_path}/index", indexing.BATCH * indexing.SLICE_BATCHES
+
+    class Failing(ports.HashEmbedding):
+        def embed(self, texts):
+            if any("line 777" in t for t in texts):
+                raise ports.ProviderError("authentication")
+            return super().embed(texts)
+
+    rows = [(f"f{i}.py", 10, 1, f"line {i}\n") for i in range(limit * 3)]
+    df = spark.createDataFrame(rows[:1], "path string, size long, mtime_ms long, content string")
+    df = df.unionByName(spark.createDataFrame(rows[1:], df.schema))
+    with pytest.raises(Exception, match="authentication"):
+        indexing.refresh(spark, df.withColumn("content", F.when(F.col("path") == "f1.py", "line 777").otherwise(F.col("content"))), root, "repo", "r", 40, Failing())
+    saved = indexing.saved_slices(spark, root)
+    n_saved = saved.count() if saved is not None else 0
+    got = indexing.refresh(spark, df, root, "repo", "r", 40, ports.HashEmbedding())
+    assert got["vectors_from_checkpoint"] == n_saved
+    assert got["vectors_from_checkpoint"] + got["vectors_created"] == limit * 3
+    assert indexing.saved_slices(spark, root) is None
