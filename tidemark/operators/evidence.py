@@ -30,10 +30,21 @@ def bad_responses(responses: DataFrame) -> DataFrame:
     return responses.where(~_sound(F.from_json("response", RESPONSE))).select("filename", "seg_no")
 
 
+#: Fixed vocabulary of categories.
+CATEGORIES = ("correctness", "security", "performance", "type-safety", "error-handling", "maintainability")
+
+
 def _sound(r: Column) -> Column:
-    ok = r["findings"].isNotNull() & (F.size(r["findings"]) <= MAX_FINDINGS)
-    ok &= F.forall(r["findings"], lambda f: f["severity"].isin("low", "medium", "high") & f["title"].isNotNull() & (F.size(f["evidence"]).between(1, MAX_EVIDENCE)))
-    return F.coalesce(ok, F.lit(False))
+    """Whether a parsed response keeps the schema's bounds; an abstention has no findings."""
+    text = lambda c, most: F.length(c).between(1, most)
+    cited = lambda e: F.length(e["path"]).between(1, 4096) & (e["startLine"] > 0) & (e["endLine"] >= e["startLine"])
+    finding = lambda f: (
+        f["severity"].isin("low", "medium", "high") & f["confidence"].isin("low", "medium", "high") & f["category"].isin(*CATEGORIES)
+        & text(f["title"], 200) & text(f["explanation"], 2000) & F.coalesce(F.length(f["suggestion"]) <= 2000, F.lit(True))
+        & F.size(f["evidence"]).between(1, MAX_EVIDENCE) & F.forall(f["evidence"], cited)
+    )
+    ok = r["findings"].isNotNull() & (F.size(r["findings"]) <= MAX_FINDINGS) & F.forall(r["findings"], finding) & r["abstained"].isNotNull()
+    return F.coalesce(ok & (~r["abstained"] | (F.size(r["findings"]) == 0)), F.lit(False))
 
 
 def citations(findings: DataFrame) -> DataFrame:
