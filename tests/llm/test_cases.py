@@ -83,11 +83,32 @@ def test_embeddings(spark):
         comp[i] = min(seen)
     for i in links:
         assert got[i] == ((len(links[i]), comp[i], comp[i] == i) if i is not None else (0, None, False)), i
-    tiny = {r.vec_id: tuple(r)[1:] for r in embdedup.near_duplicates(df, tile_rows=3).collect()}
-    assert tiny == got
+    for rows in (1, 3):  # small tiles, and a grid over more coordinates
+        assert {r.vec_id: tuple(r)[1:] for r in embdedup.near_duplicates(df, tile_rows=rows).collect()} == got
     assert embdedup.near_duplicates(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(("grid", "cosine"), [(1, 0.93), (2, 0.93), (5, 0.9), (8, 0.97)])
+def test_cells_bring_neighbours_together(grid, cosine):
+    """Vectors within a block's budget meet once: at home in one cell, or one as the other's guest."""
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((300, 16))
+    x[150:] = x[:150] + 0.2 * rng.standard_normal((150, 16))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    homes, guests = {}, {}
+    for block, rows, cells, guest in embdedup._cells(x, cosine, grid):
+        for r, c in zip(rows.tolist(), cells.tolist(), strict=True):
+            (guests if guest else homes).setdefault((block, r), []).append(c)
+    bounds, most = embdedup.blocks_of(16), embdedup.budgets(16, cosine)
+    for block in range(2):
+        near = ((x[:, None, bounds[block] : bounds[block + 1]] - x[None, :, bounds[block] : bounds[block + 1]]) ** 2).sum(axis=2) <= most[block]
+        for a, b in zip(*np.nonzero(near), strict=True):
+            if a < b:
+                (h,), (k,) = homes[block, a], homes[block, b]
+                assert (h == k) + (h in guests.get((block, b), [])) + (k in guests.get((block, a), [])) == 1
+    assert 1 <= embdedup.grid_dims(16, cosine, 10**9) <= 8 and embdedup.grid_dims(64, 0.93, 5000) == 2
+
+
 def test_warc(spark):
     rows = [(1, "http://a/x y\n", "<p>é</p>"), (2, None, None), (3, "http://b", ""), (3, "http://b", ""), (5, "http://c", "<p>é</p>"), (None, "http://d", "<p>é</p>"), (None, None, "alone"), (7, "u", "z" * 2_000_000)]
     df = spark.createDataFrame([(*r, 1) for r in rows], "page_id long, url string, html string, sha1 int")

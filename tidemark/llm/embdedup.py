@@ -3,8 +3,8 @@
 Unit vectors with cosine >= t are within squared distance 2 - 2t. A seeded rotation spreads that
 distance over the coordinates, which are split into blocks of BLOCK_DIM; in one block at least, two
 such vectors are within the block's share of the budget, (2 - 2t) * dims / D. So each block is a range
-join: vectors are put into grid cells (of two radii) of the block's first two coordinates, and into
-the later neighbour cells that their ball reaches. Within a cell candidates are the pairs whose block
+join: vectors are put into grid cells (of two radii) of the block's first coordinates, two or more by the
+number of vectors, and into the later neighbour cells that their ball reaches. Within a cell candidates are the pairs whose block
 distance is within the budget, a product of low-dimensional matrices. A pair is verified, by the exact
 cosine of the vectors as given, in the first block that finds it, so the union counts it once.
 
@@ -63,22 +63,35 @@ def rotated(x: np.ndarray) -> np.ndarray:
     return np.einsum("ij,kj->ik", unit, rotation(x.shape[1]))
 
 
-def _cells(x: np.ndarray, cosine: float) -> Iterator[tuple[int, np.ndarray, np.ndarray, bool]]:
-    """(block, rows, cells, guest) of unit vectors in the rotated space."""
+def grid_dims(dim: int, cosine: float, rows: int, tile_rows: int = TILE_ROWS) -> int:
+    """Coordinates of a block that the grid cuts: two, and more the more vectors share a label, as far as a cell's
+    coordinates fit into a long. Unit vectors spread over about three cells a coordinate."""
+    bits = int(np.ceil(np.log2(2 / (2 * np.sqrt(budgets(dim, cosine).min())) + 6)))
+    want = int(np.ceil(np.log(max(1, rows / tile_rows)) / np.log(3)))
+    return max(1, min(max(2, want), BLOCK_DIM, dim, 62 // bits))
+
+
+def _cells(x: np.ndarray, cosine: float, grid: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, bool]]:
+    """(block, rows, cells, guest) of unit vectors in the rotated space: each at home in its cell, and a guest in every later
+    cell (the first coordinate that differs is greater) within the block's radius. Offsets are grown a coordinate at a
+    time and end where the distance to the cell is over the radius."""
     bounds, most = blocks_of(x.shape[1]), budgets(x.shape[1], cosine)
-    rows = np.arange(len(x))
-    pack = lambda a, b: ((a + (1 << 20)) << 32) | (b + (1 << 20))
     for k, (lo, hi) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
-        r = np.sqrt(most[k])
-        y = x[:, lo : lo + 2] if hi - lo > 1 else np.column_stack((x[:, lo], np.zeros(len(x))))
+        g = min(grid, hi - lo)
+        r, y = np.sqrt(most[k]), x[:, lo : lo + g]
         c = np.floor(y / (2 * r)).astype(np.int64)
-        yield k, rows, pack(c[:, 0], c[:, 1]), False
-        up = (c + 1) * 2 * r - y
-        down = y - c * 2 * r
-        for dx, dy in ((1, -1), (1, 0), (1, 1), (0, 1)):
-            gap = (up[:, 0] ** 2 if dx else 0) + (up[:, 1] ** 2 if dy == 1 else down[:, 1] ** 2 if dy else 0)
-            near = np.flatnonzero(gap <= most[k] * (1 + SLACK))
-            yield k, near, pack(c[near, 0] + dx, c[near, 1] + dy), True
+        half = 1 << (62 // g - 1)
+        rows, cell, gap, moved = np.arange(len(x)), np.zeros(len(x), np.int64), np.zeros(len(x)), np.zeros(len(x), bool)
+        for d in range(g):
+            at, v = c[rows, d], y[rows, d]
+            grown = []
+            for step in (-1, 0, 1):
+                more = gap + (0 if step == 0 else (((at + 1) * 2 * r - v) if step > 0 else (v - at * 2 * r)) ** 2)
+                ok = (more <= most[k] * (1 + SLACK)) & (moved | (step >= 0))
+                grown.append((rows[ok], cell[ok] * (2 * half) + (at[ok] + step + half), more[ok], moved[ok] | (step != 0)))
+            rows, cell, gap, moved = (np.concatenate(z) for z in zip(*grown, strict=True))
+        for guest in (False, True):
+            yield k, rows[moved == guest], cell[moved == guest], guest
 
 
 def _matrix(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -87,7 +100,7 @@ def _matrix(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return column.values.to_numpy(zero_copy_only=False), off
 
 
-def _spread(cosine: float):
+def _spread(cosine: float, rows: int, tile_rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             flat, off = _matrix(b.column("embedding"))
@@ -96,10 +109,10 @@ def _spread(cosine: float):
                 at = np.flatnonzero(dims == d)
                 x = flat[off[at][:, None] + np.arange(d)].astype(np.float64)
                 rot = rotated(x / np.abs(x).max(axis=1, keepdims=True))
-                for block, rows, cell, guest in _cells(rot, cosine):
-                    if len(rows):
-                        part = b.take(pa.array(at[rows]))
-                        n = len(rows)
+                for block, at_rows, cell, guest in _cells(rot, cosine, grid_dims(int(d), cosine, rows, tile_rows)):
+                    if len(at_rows):
+                        part = b.take(pa.array(at[at_rows]))
+                        n = len(at_rows)
                         yield pa.RecordBatch.from_pydict({"label": part.column("label"), "dim": pa.array(np.full(n, d, np.int32)), "block": pa.array(np.full(n, block, np.int32)), "cell": pa.array(cell), "guest": pa.array(np.full(n, guest)), "rep": part.column("rep"), "copies": part.column("copies"), "embedding": part.column("embedding")})
 
     return run
@@ -185,7 +198,8 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, tile_rows: int =
     v = v.withColumns({"h1": F.when(F.col("ok"), F.xxhash64("embedding")), "h2": F.when(F.col("ok"), F.xxhash64(F.lit(1), "embedding"))})
     same = ["label", "h1", "h2"]
     reps = C.materialize(v.where("ok").groupBy(*same).agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.first("embedding").alias("embedding")), f"{path}/reps")
-    cells = reps.select("label", "rep", "copies", "embedding").mapInArrow(_spread(cosine), f"label long, dim int, block int, cell long, guest boolean, rep long, copies long, embedding {kind.simpleString()}")
+    most = reps.groupBy("label").count().agg(F.max("count")).first()[0] or 0
+    cells = reps.select("label", "rep", "copies", "embedding").mapInArrow(_spread(cosine, most, tile_rows), f"label long, dim int, block int, cell long, guest boolean, rep long, copies long, embedding {kind.simpleString()}")
     units = C.tiled(cells, KEYS, "rep", tile_rows, f"{path}/big")
     keys = [*KEYS, "ti", "tj"]
     found = units.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_join(cosine), "rep long, links long, root long")
