@@ -87,3 +87,36 @@ def test_chunks():
 def test_chunks_respect_budget():
     for c in S.chunk_text("src/x.ts", SOURCE * 3, 40):
         assert len(c["content"].encode()) <= 40
+
+
+def test_search_is_a_plain_scan(spark):
+    """Ranks, ties and bits of a search are those of a naive loop."""
+    import numpy as np
+
+    from tidemark.operators import semantic
+
+    rng = np.random.default_rng(3)
+    v = rng.standard_normal((400, 12))
+    v[5] = 0
+    v[7] = v[300] = v[9]
+    q = np.vstack((v[:6], rng.standard_normal((4, 12)), np.zeros((1, 12))))
+    vectors = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "ordinal long, values array<double>").repartition(5)
+    queries = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(q)], "query_id long, values array<double>")
+
+    def fold(a, b):
+        t = 0.0
+        for x, y in zip(a.tolist(), b.tolist(), strict=True):
+            t += x * y
+        return t
+
+    want = []
+    for i, a in enumerate(q):
+        n = fold(a, a)
+        s = []
+        for j, b in enumerate(v):
+            m = fold(a, b)
+            x = m / float(np.sqrt(n * fold(b, b))) if n and b.any() else 0.0
+            s.append((-max(0.0, x), j))
+        want += [(i, r, j, -x) for r, (x, j) in enumerate(sorted(s)[:20], 1)]
+    got = semantic.search(vectors, queries, 20).select("query_id", "rank", "ordinal", "score").collect()
+    assert sorted(map(tuple, got)) == sorted(want)

@@ -8,12 +8,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Queries per block: each block is one pass over the vectors with one broadcast matrix.
 QUERY_BLOCK, SLACK = 2048, 1e-6
+#: Queries of one matrix product, and pairs scored at once.
+STRIP, PAIRS = 128, 4096
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -41,30 +43,39 @@ def in_order(q: np.ndarray, v: np.ndarray) -> np.ndarray:
     return out
 
 
+def _matrix(column: pa.Array, dims: int) -> np.ndarray:
+    """The rows of a list column as one matrix, without a copy where Arrow allows it."""
+    flat = column.flatten()
+    if len(flat) != len(column) * dims or column.null_count or flat.null_count:
+        raise ValueError("vectors must be finite and of the queries' dimension")
+    v = flat.to_numpy(zero_copy_only=False).reshape(-1, dims)
+    if (column.value_lengths().to_numpy() != dims).any() or not np.isfinite(v).all():
+        raise ValueError("vectors must be finite and of the queries' dimension")
+    return v
+
+
 def _top(qs: np.ndarray, ids: np.ndarray, limit: int):
     q_norm = in_order(qs, qs)
-    root = np.sqrt(np.where(q_norm == 0, 1, q_norm))
+    unit = qs / np.sqrt(np.where(q_norm == 0, 1, q_norm))[:, None]
 
-    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in it:
-            v = np.array(p["values"].tolist(), dtype=np.float64)
-            if not len(v):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
                 continue
-            if v.ndim != 2 or v.shape[1] != qs.shape[1] or not np.isfinite(v).all():
-                raise ValueError("vectors must be finite and of the queries' dimension")
+            v, ordinal = _matrix(b.column("values"), qs.shape[1]), b.column("ordinal").to_numpy()
             v_norm = in_order(v, v)
-            # a product of matrices finds what can be among the best, sums in order score it
-            rough = (qs @ v.T) / root[:, None] / np.sqrt(np.where(v_norm == 0, 1, v_norm))
-            rough = np.maximum(rough, 0)
             k = min(limit, len(v))
-            edge = np.partition(rough, len(v) - k, axis=1)[:, len(v) - k]
-            i, j = np.nonzero(rough >= edge[:, None] - SLACK)
-            for s in range(0, len(i), 1 << 16):
-                a, b = i[s : s + (1 << 16)], j[s : s + (1 << 16)]
-                with np.errstate(all="ignore"):
-                    score = in_order(qs[a], v[b]) / np.sqrt(q_norm[a] * v_norm[b])
-                score = np.where((score > 0) & np.isfinite(score), score, 0.0)
-                yield pd.DataFrame({"query_id": ids[a], "ordinal": p["ordinal"].to_numpy()[b], "score": score})
+            for lo in range(0, len(qs), STRIP):
+                # a product of matrices finds what can be among the best, sums in order score it
+                rough = np.maximum(unit[lo : lo + STRIP] @ v.T / np.sqrt(np.where(v_norm == 0, 1, v_norm)), 0)
+                edge = np.partition(rough, len(v) - k, axis=1)[:, len(v) - k]
+                i, j = np.nonzero(rough >= edge[:, None] - SLACK)
+                for s in range(0, len(i), PAIRS):
+                    a, c = lo + i[s : s + PAIRS], j[s : s + PAIRS]
+                    with np.errstate(all="ignore"):
+                        score = in_order(qs[a], v[c]) / np.sqrt(q_norm[a] * v_norm[c])
+                    score = np.where((score > 0) & np.isfinite(score), score, 0.0)
+                    yield pa.RecordBatch.from_pydict({"query_id": pa.array(ids[a], pa.int64()), "ordinal": pa.array(ordinal[c], pa.int64()), "score": pa.array(score)})
 
     return run
 
@@ -79,7 +90,7 @@ def search(vectors: DataFrame, queries: DataFrame, limit: int) -> DataFrame:
 
     def one(block: list) -> DataFrame:
         qs, ids = np.array([r["values"] for r in block], dtype=np.float64), np.array([r["query_id"] for r in block])
-        found = vectors.select("ordinal", "values").mapInPandas(_top(qs, ids, limit), "query_id long, ordinal long, score double")
+        found = vectors.select(F.col("ordinal").cast("long").alias("ordinal"), F.col("values").cast("array<double>").alias("values")).mapInArrow(_top(qs, ids, limit), "query_id long, ordinal long, score double")
         return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= limit)
 
     for r in queries.select("query_id", "values").toLocalIterator():
