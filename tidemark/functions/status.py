@@ -9,7 +9,16 @@ from pyspark.sql import functions as F
 PROVIDER_CODES = ("invalid_api_key", "invalid_request_error", "model_not_found", "insufficient_quota", "rate_limit_exceeded", "context_length_exceeded", "server_error", "service_unavailable", "access_terminated", "billing_not_active", "authentication_error", "permission_error", "not_found_error", "request_too_large", "rate_limit_error", "api_error", "overloaded_error", "timeout_error", "billing_error")
 RETRYABLE_SOURCE = ("rate_limit", "timeout", "network", "provider_unavailable", "revision_changed")
 RETRYABLE_PROVIDER = ("rate_limit", "timeout", "network", "provider_unavailable")
-GITHUB_CODES = {"authentication": "GITHUB_AUTHENTICATION", "authorization": "GITHUB_AUTHORIZATION", "not_found": "GITHUB_NOT_FOUND", "rate_limit": "GITHUB_RATE_LIMIT", "provider_unavailable": "GITHUB_UNAVAILABLE", "invalid_response": "GITHUB_INVALID_RESPONSE", "revision_changed": "SOURCE_REVISION_CHANGED", "coverage_incomplete": "SOURCE_COVERAGE_INCOMPLETE"}
+GITHUB_CODES = {
+    "authentication": "GITHUB_AUTHENTICATION_FAILED",
+    "authorization": "GITHUB_AUTHORIZATION_FAILED",
+    "not_found": "GITHUB_NOT_FOUND",
+    "rate_limit": "GITHUB_RATE_LIMIT",
+    "provider_unavailable": "GITHUB_PROVIDER_UNAVAILABLE",
+    "invalid_response": "GITHUB_INVALID_RESPONSE",
+    "revision_changed": "GITHUB_REVISION_CHANGED",
+    "coverage_incomplete": "GITHUB_COVERAGE_INCOMPLETE",
+}
 SECONDARY_LIMIT_MS = 60_000
 MAX_DETAIL_CHARS = 160
 

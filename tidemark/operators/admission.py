@@ -62,9 +62,9 @@ def coverage(admission: DataFrame, outcomes: DataFrame | None = None) -> DataFra
     trunc = F.count_if(F.col("truncated")) if "truncated" in a.columns else F.lit(0)
     out = a.agg(F.count("*").alias("discovered"), F.count_if("eligible").alias("eligible"), F.count_if("omitted").alias("omitted"), (F.count_if(F.col("decision") == "skipped") - F.count_if("omitted")).alias("skipped"), trunc.alias("truncated"))
     if outcomes is None:
-        return out.select("*", *[F.lit(0).alias(c) for c in ("attempted", "reviewed", "failed")])
+        return out.select("*", *[F.lit(0).cast("long").alias(c) for c in ("attempted", "reviewed", "failed")])
     o = outcomes.agg(F.count_if("started").alias("attempted"), F.count_if(~F.col("failed")).alias("reviewed"), F.count_if("failed").alias("failed")).first()
-    return out.select("*", *[F.lit(o[c]).alias(c) for c in ("attempted", "reviewed", "failed")])
+    return out.select("*", *[F.lit(o[c]).cast("long").alias(c) for c in ("attempted", "reviewed", "failed")])
 
 
 def status(source_complete: Column, mode: Column, context_state: Column) -> Column:

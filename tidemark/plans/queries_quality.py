@@ -27,6 +27,23 @@ def error_codes(spark, d):
     return t.select("l_orderkey", "l_linenumber", S.kind_of_status(F.col("status")).alias("kind"), S.kind_of_source_response(F.col("status"), F.col("remaining"), after, F.lit(None).cast("string")).alias("source_kind"))
 
 
+_KINDS = ["aborted", "timeout", "network", "configuration", "authentication", "authorization", "not_found", "rate_limit", "provider_unavailable", "invalid_response", "revision_changed", "coverage_incomplete", "unknown"]
+
+
+@query("source_error_codes", "WITH s AS (SELECT p_partkey, (" + str(_KINDS) + ")[(p_partkey % 13 + 1)::INT] AS kind, CASE WHEN p_partkey % 2 = 0 THEN 'git' ELSE 'github' END AS source, CASE WHEN p_partkey % 3 = 0 THEN 'not_a_repository' WHEN p_partkey % 3 = 1 THEN 'no_merge_base' END AS code FROM part) SELECT p_partkey, CASE WHEN kind = 'aborted' THEN 'REVIEW_ABORTED' WHEN kind = 'timeout' THEN 'SOURCE_TIMEOUT' WHEN kind = 'network' THEN 'SOURCE_NETWORK' WHEN source = 'git' AND code = 'not_a_repository' THEN 'GIT_NOT_A_REPOSITORY' WHEN source = 'git' AND code = 'no_merge_base' THEN 'GIT_INVALID_REF' WHEN kind = 'configuration' THEN 'SOURCE_CONFIGURATION' WHEN source = 'git' THEN 'GIT_COMMAND_FAILED' WHEN kind IN ('authentication', 'authorization') THEN 'GITHUB_' || upper(kind) || '_FAILED' WHEN kind = 'unknown' THEN 'SOURCE_FAILED' ELSE 'GITHUB_' || upper(kind) END AS source_code, 'MODEL_' || upper(kind) AS model_code FROM s")
+def source_error_codes(spark, d):
+    k = F.col("p_partkey")
+    t = table(spark, d, "part").select("p_partkey", F.get(F.array(*map(F.lit, _KINDS)), (k % 13).cast("int")).alias("kind"), F.when(k % 2 == 0, "git").otherwise("github").alias("source"), F.when(k % 3 == 0, "not_a_repository").when(k % 3 == 1, "no_merge_base").alias("code"))
+    return t.select("p_partkey", S.source_error_code(F.col("kind"), F.col("source"), F.col("code")).alias("source_code"), S.prefixed_code("MODEL", F.col("kind")).alias("model_code"))
+
+
+@query("cost_and_allowance", "SELECT l_orderkey, l_linenumber, l_suppkey, CASE WHEN l_suppkey % 3 <> 0 THEN round((l_partkey * 2.5 + l_suppkey * 10.0) / 1e6, 9)::DOUBLE END AS cost, greatest(0, least(1800, 6800 - l_partkey * 7))::BIGINT AS allowance, CASE WHEN l_suppkey % 3 = 0 THEN NULL ELSE 2 * (1.0::DOUBLE / 3) END AS twice FROM lineitem")
+def cost_and_allowance(spark, d):
+    t = table(spark, d, "lineitem")
+    p, k = F.col("l_partkey"), F.col("l_suppkey")
+    return t.select("l_orderkey", "l_linenumber", "l_suppkey", F.round(S.cost(p, k, k % 3 == 0, 2.5, 10.0), 9).alias("cost"), S.context_allowance(p * 7, 6800, 1800).alias("allowance"), (2 * S.ratio(F.lit(1), F.when(k % 3 == 0, 0).otherwise(3))).alias("twice"))
+
+
 @query("retry_after", f"WITH {_STATUS} SELECT l_orderkey, l_linenumber, after_ms::BIGINT AS after_ms, CASE WHEN status = 429 OR (status = 403 AND (remaining = '0' OR after_ms IS NOT NULL)) THEN coalesce(after_ms, CASE WHEN remaining = '0' THEN 1000 END, CASE WHEN status = 403 THEN 60000 END) END::BIGINT AS wait_ms FROM s")
 def retry_after(spark, d):
     t, now = _status(spark, d), F.lit(1792567000000)
