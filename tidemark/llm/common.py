@@ -165,6 +165,13 @@ def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], least: int
         yield pa.concat_tables(held).combine_chunks()
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """The same rows a few at a time: what Python holds of them stays small."""
+    for b in batches:
+        for k in range(0, b.num_rows, rows):
+            yield b.slice(k, rows)
+
+
 def group_starts(t: pa.Table, keys: list[str]) -> np.ndarray:
     new = np.zeros(t.num_rows, bool)
     new[0] = True
@@ -201,4 +208,4 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-__all__ = ["WS", "WS_CLASS", "UPPER", "LOWER", "LAST_ID", "Forest", "clean", "connected_components", "crc_mod", "group_starts", "lower_ascii", "materialize", "opaque", "read", "shared_dir", "ship", "tiled", "whole_groups", "workspace"]
+__all__ = ["WS", "WS_CLASS", "UPPER", "LOWER", "LAST_ID", "Forest", "clean", "connected_components", "crc_mod", "group_starts", "lower_ascii", "materialize", "opaque", "read", "shared_dir", "ship", "slices", "tiled", "whole_groups", "workspace"]

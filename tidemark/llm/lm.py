@@ -38,7 +38,7 @@ N_CLASSES = 1 + N_HEAD + N_TAIL
 MOST_CACHED = 1 << 17
 DIM, STEPS, RATE, DECAY, NOISE, SEED = 32, 160, 0.05, 1e-5, 10.0, 11
 #: Distinct words that a counting task holds before it passes them on.
-HELD_WORDS = 400_000
+HELD_WORDS = 250_000
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -58,7 +58,7 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held.clear()
         return got
 
-    for b in batches:
+    for b in C.slices(batches):
         for text in b.column(0).to_pylist():
             held.update(tokens(text))
             if len(held) > HELD_WORDS:
@@ -100,7 +100,7 @@ def _count_bigrams(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         k = classes_of(shared)
         total = np.zeros(N_CLASSES * N_CLASSES, np.int64)
-        for b in batches:
+        for b in C.slices(batches):
             seqs = []
             for text in b.column(0).to_pylist():
                 seqs += [[0], k.look(tokens(text))[1]]
@@ -150,7 +150,7 @@ def _score(shared, n_end: int, n_all: int, n_distinct: int):
         log_all = np.log10(n_all + ADD * (n_distinct + 1))
         is_tail = np.arange(N_CLASSES) > N_HEAD
         uid = TaskContext.get().partitionId() << 40
-        for b in batches:
+        for b in C.slices(batches):
             out: list[tuple] = []
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 ws = tokens(text)

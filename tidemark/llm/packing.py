@@ -22,6 +22,7 @@ from __future__ import annotations
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +34,7 @@ from tidemark.llm import common as C
 CAPACITY, END_ID = 1024, 2
 TOKENIZER = "byte_bpe_50k.json"
 #: Window groups per length, and cached pretokens per Python worker.
-SALTS, CACHED = 64, 400_000
+SALTS, CACHED = 64, 200_000
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -59,8 +60,10 @@ class Known(dict):
 
     def __missing__(self, word: str) -> bytes:
         got = b"".join(x.id.to_bytes(4, "little") for x in self.tokenize(word.encode().decode("latin-1").translate(self.letters)))
-        if len(self) >= self.most:
+        if len(self) >= self.most:  # the first ones are mostly the frequent ones
+            first = list(islice(self.items(), self.most // 4))
             self.clear()
+            self.update(first)
         self[word] = got
         return got
 
