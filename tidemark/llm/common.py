@@ -4,11 +4,14 @@ tables, connected components and hot-group tiling."""
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +25,9 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Stands in for a null id where ids are ordered: after every real one.
 LAST_ID = (1 << 63) - 1
 
+BATCH_ROWS = 2000
+
+_held: dict = {}
 _shipped: set[str] = set()
 _made: list[tuple[SparkSession, str]] = []
 
@@ -31,6 +37,9 @@ def ship(spark: SparkSession) -> None:
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
+    # rows hold whole texts: unless the session says otherwise, Arrow batches have fewer rows than by default
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     path = os.path.join(tempfile.mkdtemp(), "tidemark_pkg.zip")
     with zipfile.ZipFile(path, "w") as z:
@@ -165,11 +174,30 @@ def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], least: int
         yield pa.concat_tables(held).combine_chunks()
 
 
+def worker_cache(key, build: Callable[[], object] = lambda: None):
+    """What a Python worker keeps from task to task: the current operator's, and no other's. Workers are used by one
+    stage after another, and what they hold counts against the executor all that time."""
+    if key not in _held:
+        _held.clear()
+        release()
+        _held[key] = build()
+    return _held[key]
+
+
+def release() -> None:
+    """Give freed memory back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
     """The same rows a few at a time: what Python holds of them stays small."""
     for b in batches:
         for k in range(0, b.num_rows, rows):
             yield b.slice(k, rows)
+    release()
 
 
 def group_starts(t: pa.Table, keys: list[str]) -> np.ndarray:
@@ -208,4 +236,4 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-__all__ = ["WS", "WS_CLASS", "UPPER", "LOWER", "LAST_ID", "Forest", "clean", "connected_components", "crc_mod", "group_starts", "lower_ascii", "materialize", "opaque", "read", "shared_dir", "ship", "slices", "tiled", "whole_groups", "workspace"]
+__all__ = ["WS", "WS_CLASS", "UPPER", "LOWER", "LAST_ID", "Forest", "clean", "connected_components", "crc_mod", "group_starts", "lower_ascii", "materialize", "opaque", "read", "release", "shared_dir", "ship", "slices", "tiled", "whole_groups", "worker_cache", "workspace"]

@@ -51,6 +51,7 @@ def tail_class(word: bytes) -> int:
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    C.worker_cache("lm-words")
     held: Counter[bytes] = Counter()
 
     def out() -> pa.RecordBatch:
@@ -84,16 +85,9 @@ class Classes:
         return i, k, rest
 
 
-_classes: dict[int, Classes] = {}
-
-
 def classes_of(shared) -> Classes:
     """The broadcast words as a lookup, built once per Python worker."""
-    words = shared.value[0]
-    if id(words) not in _classes:
-        _classes.clear()
-        _classes[id(words)] = Classes(words)
-    return _classes[id(words)]
+    return C.worker_cache(("lm", shared.value[0]), lambda: Classes(shared.value[1]))
 
 
 def _count_bigrams(shared):
@@ -144,7 +138,7 @@ def train(counts: np.ndarray) -> np.ndarray:
 
 def _score(shared, n_end: int, n_all: int, n_distinct: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, counts, table, tail = shared.value
+        _, _, counts, table, tail = shared.value
         k = classes_of(shared)
         log_count = np.append(np.log10(counts + ADD), 0.0)
         log_all = np.log10(n_all + ADD * (n_distinct + 1))
@@ -185,7 +179,8 @@ def score_documents(docs: DataFrame, training: DataFrame) -> DataFrame:
     n_all, n_distinct = (n_words or 0) + n_end, n_types + (n_end > 0)
     top = counts.orderBy(F.desc("c"), "word").limit(MOST_CACHED).toArrow()  # a fixed number of words
     words, known = [bytes(w) for w in top.column("word").to_pylist()], top.column("c").to_numpy().astype(np.float64)
-    shared = sc.broadcast((words,))
+    run = path  # names this job's words in the workers
+    shared = sc.broadcast((run, words))
     bigrams = training.select(text).mapInArrow(_count_bigrams(shared), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()  # N_CLASSES ** 2 rows at most
     matrix = np.zeros(N_CLASSES * N_CLASSES)
     matrix[bigrams.column("pair").to_numpy()] = bigrams.column("n").to_numpy()
@@ -200,7 +195,7 @@ def score_documents(docs: DataFrame, training: DataFrame) -> DataFrame:
         total[tail_class(w)] -= c
         types[tail_class(w)] -= 1
     tail = np.log10(total + ADD * (types + 1))
-    shared = sc.broadcast((words, known, table, tail))
+    shared = sc.broadcast((run, words, known, table, tail))
     schema = "uid long, doc_id long, n_tokens long, n_known long, base_score double, score double, far_words array<binary>, far_counts array<long>"
     near = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text).mapInArrow(_score(shared, n_end, n_all, n_distinct), schema)
     near = C.materialize(near, f"{path}/near")

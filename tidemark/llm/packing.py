@@ -128,9 +128,6 @@ class Encoder:
         return out
 
 
-_encoders: dict[str, Encoder] = {}
-
-
 def cut(n: int, capacity: int) -> list[tuple[int, int]]:
     """(start, length) of a document's pieces: the first takes what capacity does not divide."""
     first = n % capacity or capacity
@@ -142,23 +139,21 @@ def _piece_batches(path: str, capacity: int, end_id: int, with_ids: bool):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        enc = _encoders.get(path) or _encoders.setdefault(path, Encoder(path))
+        enc = C.worker_cache(("packing", path), lambda: Encoder(path))
         end = np.asarray([end_id], "<u4").tobytes()
-        for b in batches:
-            for k in range(0, b.num_rows, 250):
-                part = b.slice(k, 250)
-                out = defaultdict(list)
-                for doc, ids in zip(part.column(0).to_pylist(), enc.encode([t or "" for t in part.column(1).to_pylist()]), strict=True):
-                    ids += end
-                    for p, (start, n) in enumerate(cut(len(ids) // 4, capacity)):
-                        piece = ids[4 * start : 4 * (start + n)]
-                        for name, v in (("doc_id", doc), ("piece", p), ("start", start), ("length", n), ("ids_crc32", zlib.crc32(piece)), ("ids", piece)):
-                            out[name].append(v)
-                cols = {"doc_id": pa.array(out["doc_id"], pa.int64()), "piece": pa.array(out["piece"], pa.int32())} | {n: pa.array(out[n], pa.int64()) for n in ("start", "length", "ids_crc32")}
-                if with_ids:
-                    flat = np.frombuffer(b"".join(out["ids"]), "<u4").astype(np.int32)
-                    cols["ids"] = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(out["length"]))), pa.int32()), pa.array(flat, pa.int32()))
-                yield pa.RecordBatch.from_pydict(cols)
+        for part in C.slices(batches, 250):
+            out = defaultdict(list)
+            for doc, ids in zip(part.column(0).to_pylist(), enc.encode([t or "" for t in part.column(1).to_pylist()]), strict=True):
+                ids += end
+                for p, (start, n) in enumerate(cut(len(ids) // 4, capacity)):
+                    piece = ids[4 * start : 4 * (start + n)]
+                    for name, v in (("doc_id", doc), ("piece", p), ("start", start), ("length", n), ("ids_crc32", zlib.crc32(piece)), ("ids", piece)):
+                        out[name].append(v)
+            cols = {"doc_id": pa.array(out["doc_id"], pa.int64()), "piece": pa.array(out["piece"], pa.int32())} | {n: pa.array(out[n], pa.int64()) for n in ("start", "length", "ids_crc32")}
+            if with_ids:
+                flat = np.frombuffer(b"".join(out["ids"]), "<u4").astype(np.int32)
+                cols["ids"] = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(out["length"]))), pa.int32()), pa.array(flat, pa.int32()))
+            yield pa.RecordBatch.from_pydict(cols)
 
     return run
 

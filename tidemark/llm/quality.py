@@ -23,6 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -177,6 +178,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Model
     C.ship(docs.sparkSession)
 
     def counted(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        C.worker_cache("quality")
         for p in it:
             yield pd.concat([p[["doc_id", "label"]].reset_index(drop=True), _counted(p["text"])], axis=1)
 
@@ -194,11 +196,13 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
     C.ship(spark)
     shared = spark.sparkContext.broadcast((model.value, model.bias))  # a fixed number of buckets
 
-    @F.pandas_udf("double")
-    def score(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("double")
+    def score(it: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        C.worker_cache("quality")
         m = Model(*shared.value)
         for s in it:
-            yield pd.Series(m.score([t or "" for t in s.tolist()]))
+            yield pa.array(np.concatenate([m.score([t or "" for t in s.slice(k, 500).to_pylist()]) for k in range(0, max(1, len(s)), 500)]), pa.float64())
+        C.release()
 
     return docs.withColumn("score", score(F.col("text").cast("string")))
 

@@ -50,6 +50,7 @@ def simhash(words: list[bytes], width: int = WIDTH) -> int:
 
 
 def _hash_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    C.worker_cache("simhash")
     for b in C.slices(batches):
         fp = np.array([simhash((t or "").encode().lower().split()) for t in b.column("text").to_pylist()], dtype=np.uint64).view(np.int64)
         b = b.drop_columns(["text"])

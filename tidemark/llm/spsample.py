@@ -255,12 +255,9 @@ class Sampler:
         return b"".join(map(self.bytes_of.__getitem__, ids.tolist())).decode()[1:]
 
 
-_samplers: dict[tuple, Sampler] = {}
-
-
 def sampler(*args) -> Sampler:
     """One per Python worker."""
-    return _samplers.get(args) or _samplers.setdefault(args, Sampler(*args))
+    return C.worker_cache(("spsample", *args), lambda: Sampler(*args))
 
 
 def encode_documents(docs: DataFrame, path: str, key: str = "doc_id", alpha: float = ALPHA, seed: int = SEED) -> DataFrame:
