@@ -34,7 +34,7 @@ from tidemark.llm import common as C
 CAPACITY, END_ID = 1024, 2
 TOKENIZER = "byte_bpe_50k.json"
 #: Window groups per length, and cached pretokens per Python worker.
-SALTS, CACHED = 64, 200_000
+SALTS, CACHED = 64, 300_000
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
