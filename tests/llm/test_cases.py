@@ -217,23 +217,28 @@ def test_sampling(docs):
     assert spsample.encode_documents(docs.limit(0), spsample.model_path()).count() == 0
 
 
-def test_sampling_distribution():
+def _ways(logp, t):
+    """Every segmentation of t with its weight."""
+    if not t:
+        yield (), 0.0
+    for k in range(1, len(t) + 1):
+        if t[:k] in logp:
+            for rest, w in _ways(logp, t[k:]):
+                yield (t[:k], *rest), w + logp[t[:k]]
+
+
+@pytest.mark.parametrize("text", ["then", "of it", "aaaa"])
+@pytest.mark.parametrize("long_chunk", [48, 0])
+def test_sampling_distribution(text, long_chunk, monkeypatch):
+    """Draws against the enumerated distribution; cutting every chunk between characters changes nothing in it."""
+    monkeypatch.setattr(spsample, "LONG_CHUNK", long_chunk)
     s = spsample.Sampler(spsample.model_path(), 0.3)
     logp = {s.bytes_of[i].decode(): w for _, ids, ws in s.tables for i, w in zip(ids.tolist(), ws.tolist(), strict=True)}
-
-    def ways(t):
-        if not t:
-            yield (), 0.0
-        for k in range(1, len(t) + 1):
-            if t[:k] in logp:
-                for rest, w in ways(t[k:]):
-                    yield (t[:k], *rest), w + logp[t[:k]]
-
-    all_ways = {p: math.exp(w) for p, w in ways(" then")}
+    all_ways = {p: math.exp(w) for p, w in _ways(logp, " " + text)}
     total = sum(all_ways.values())
     n = 20_000
     seen = {}
-    for x in s.encode(list(range(n)), ["then"] * n):
+    for x in s.encode(list(range(n)), [text] * n):
         p = tuple(s.bytes_of[i].decode() for i in x.tolist())
         seen[p] = seen.get(p, 0) + 1
     assert set(seen) <= set(all_ways)
@@ -242,6 +247,37 @@ def test_sampling_distribution():
         assert abs(seen.get(p, 0) / n - q) < 5 * math.sqrt(q / n) + 1e-3
 
 
+def test_draws_stay_in_their_state(monkeypatch):
+    """The greatest draw takes an edge that ends in the state, in every state of a lattice of over 2^21 states."""
+    s = spsample.Sampler(spsample.model_path())
+    keys, start, piece, final = s.lattice([f" the{i:07d}x" for i in range(200_000)])
+    states = np.arange(final[-1] + 1)
+    assert final[-1] > 1 << 21
+    inner = np.setdiff1d(states, final - 12)  # the first place of a chunk has no edge into it
+    top = (1 << spsample.DRAW_BITS) - 1
+    for u in (0, 1, top // 2, top):
+        e = np.searchsorted(keys, (inner << spsample.DRAW_BITS) | u, side="right")
+        assert e.max() < len(piece)
+        width = np.array([len(s.bytes_of[x].decode()) if x >= 0 else 1 for x in piece[e].tolist()])
+        assert (start[e] + width == inner).all()
+    monkeypatch.setattr(spsample, "_mixed", lambda x: np.full_like(x, (1 << 64) - 1))  # every draw is the greatest
+    texts = ["the words of it", "", None, "x" * 300, "日本語テキスト" * 20, "▁ odd\n\tones"]
+    assert [s.decode(x) if len(x) else "" for x in s.encode([1, 2, 3, None, 5, 6], texts)] == [t or "" for t in texts]
+
+
+def test_sampling_of_long_texts(monkeypatch):
+    """A text in several blocks, and one without spaces, gives what it gives alone; nothing is step by step."""
+    s = spsample.Sampler(spsample.model_path())
+    rng = random.Random(9)
+    glued = "".join(rng.choice(["Q7", "zx", "then", "漢字", "_", "ß", "9.9"]) for _ in range(60_000))
+    texts = [LONG, glued, "short one"]
+    whole = s.encode([1, 2, 3], texts)
+    assert max(map(len, s.parts(glued))) < 2000
+    monkeypatch.setattr(spsample, "BLOCK_CHARS", 5000)
+    for a, b in zip(whole, s.encode([1, 2, 3], texts), strict=True):
+        assert np.array_equal(a, b)
+
+
 def test_urls(spark):
     rows = [(1, "http://Sub.Example.COM/en/7x?q"), (2, "https://a.com/en/"), (3, "b.net/de/"), (4, None), (5, "http://x.example.net/de/8"), (None, "ftp://y.org/es/1#z"), (1, "http://notcom/en/"), (6, "http://spam.biz/"), (7, "http://fine.biz/")]
     pages = spark.createDataFrame([(*r, "h", 3.0) for r in rows], "page_id long, url string, host string, mean double")

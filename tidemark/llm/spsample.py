@@ -1,10 +1,12 @@
 """SentencePiece encoding by forward filtering and backward sampling, and decoding.
 
-A text, spaces as word marks, is cut into chunks that no piece crosses; over a chunk's lattice of
+A text, spaces as word marks, is cut into chunks that no piece crosses (words, and long words again
+between any two characters that stand side by side in no piece); over a chunk's lattice of
 pieces the forward pass sums the weights of all segmentations up to each position, and segmentations
 are drawn backwards from the end, each with its probability. Draws are a counter-based hash of
 (seed, row key, chunk, step): the same row gives the same pieces wherever and with whatever it is
-processed. A piece's log-probability is Zipf's law over its merge rank, times `alpha` (0: every
+processed. A draw is a whole number below 1 << DRAW_BITS, and each state's cumulative weights are whole
+numbers that end there, so a draw always falls on an edge of its own state. A piece's log-probability is Zipf's law over its merge rank, times `alpha` (0: every
 segmentation alike; large: the likeliest). A character that is no piece is spelt in byte pieces, so
 every text decodes to itself; rows are checked for that and a failure raises.
 
@@ -12,6 +14,10 @@ Lattices are built for all distinct chunks of a block at once: rolling hashes fi
 length, the forward pass goes position by position over all chunks, and a step of sampling is one
 search in the sorted cumulative weights of all states.
 
+Very long texts are processed whole, in blocks of BLOCK_CHARS characters. Steps over a block are as many as the characters of its longest chunk: text
+without spaces is cut between characters as above, and only a run whose neighbours all occur in
+pieces (one letter repeated, say) takes a step of some 20 microseconds for each of its characters.
+
 Defined results. Null or empty text: no pieces, decoded to the empty text. Null row key: as the key
 NULL_KEY. Repeated rows: the same pieces. Literal word marks in a text are spelt in bytes. Empty table: empty result.
 Other columns pass through `encode_documents`; ids is replaced.
@@ -19,6 +25,7 @@ Other columns pass through `encode_documents`; ids is replaced.
 
 from __future__ import annotations
 
+import itertools
 import re
 import zlib
 from collections.abc import Iterator
@@ -37,6 +44,10 @@ MARK = "▁"
 BLOCK_CHARS = 1 << 21
 #: Bits of the table that tells which hashes can be pieces.
 SIEVE_BITS = 21
+#: Bits of a draw; states, which take the rest of a long, are at most 1 << STATE_BITS in a block.
+DRAW_BITS, STATE_BITS = 36, 26
+#: Chunks of more characters are looked through for places that no piece crosses.
+LONG_CHUNK = 48
 _BASE = np.uint64(0x100000001B3)
 _U = np.uint64
 
@@ -86,6 +97,8 @@ class Sampler:
         split = "".join(re.escape(c) for c in "\n\t\r" if c not in joined)
         self.find = re.compile(f" +[^ {split}]*" + (f"|[{split}]" if split else "") + f"|[^ {split}]+").findall
         assert not any(MARK in x.lstrip(MARK) for x in names), "pieces cross words"
+        pairs = {(ord(a) << 21) | ord(b) for x in names for a, b in itertools.pairwise(x.replace(MARK, " "))}
+        self.pairs = np.array(sorted(pairs), np.int64)
         self.tables: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         self.sieve = np.zeros(1 << SIEVE_BITS, np.uint8)  # bit 0: can be a piece; bit 1: can begin a longer one
         for size in range(1, max(map(len, names)) + 1):
@@ -106,10 +119,22 @@ class Sampler:
     def _slot(h: np.ndarray, size: int) -> np.ndarray:
         return ((h ^ _U(size)) * _U(0x9E3779B97F4A7C15)) >> _U(64 - SIEVE_BITS)
 
+    def parts(self, chunk: str) -> list[str]:
+        """A chunk cut wherever its two neighbouring characters are neighbours in no piece: segmentations of
+        the parts are independent, so the chunk's distribution is their product."""
+        c = np.frombuffer(chunk.encode("utf-32-le"), "<u4").astype(np.int64)
+        pair = (c[:-1] << 21) | c[1:]
+        k = np.minimum(np.searchsorted(self.pairs, pair), len(self.pairs) - 1)
+        cuts = [0, *(np.flatnonzero(self.pairs[k] != pair) + 1).tolist(), len(chunk)] if len(self.pairs) else range(len(chunk) + 1)
+        return [chunk[a:b] for a, b in itertools.pairwise(cuts)]
+
     def lattice(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(keys, from_state, piece, end state of each chunk). States number the places between characters,
-        chunk by chunk; keys are end state + cumulative probability of its edges, ascending."""
+        chunk by chunk; keys are end state << DRAW_BITS + cumulative weight of its edges, ascending; the last
+        of a state is the next state's zero."""
         c = np.frombuffer("".join(chunks).encode("utf-32-le"), "<u4")
+        if len(c) + len(chunks) > 1 << STATE_BITS:
+            raise ValueError("a run of characters that is too long for a lattice")
         lens = np.fromiter(map(len, chunks), np.int64, len(chunks))
         ends = np.cumsum(lens)
         own = np.repeat(np.arange(len(chunks)), lens)
@@ -166,25 +191,32 @@ class Sampler:
             top = np.maximum.reduceat(value, seg)
             size = np.diff(np.append(seg, len(e)))
             alpha[to[seg]] = top + np.log(np.add.reduceat(np.exp(value - np.repeat(top, size)), seg))
-        p = np.cumsum(np.exp(alpha[start] + lp - alpha[end]))
         last = np.concatenate((end[1:] != end[:-1], [True]))
-        base = np.concatenate(([0.0], p[last][:-1]))
-        keys = end + np.minimum(p - np.repeat(base, np.diff(np.concatenate(([0], np.flatnonzero(last) + 1)))), 1.0)
-        keys[last] = end[last] + 1.0
+        whole = 1 << DRAW_BITS
+        weight = np.cumsum(np.rint(np.exp(np.minimum(alpha[start] + lp - alpha[end], 0.0)) * whole).astype(np.int64))
+        base = np.concatenate(([0], weight[last][:-1]))
+        keys = (end << DRAW_BITS) + np.minimum(weight - np.repeat(base, np.diff(np.concatenate(([0], np.flatnonzero(last) + 1)))), whole)
+        keys[last] = (end[last] + 1) << DRAW_BITS
         return keys, start, piece, first_state + lens
 
-    def _block(self, keys_of: np.ndarray, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, number of ids per text) of non-empty texts."""
+    def chunks(self, text: str) -> list[str]:
+        """What no piece crosses of a text, a space before it."""
+        cs = self.find(" " + text)
+        if max(map(len, cs)) > LONG_CHUNK:
+            cs = [y for x in cs for y in (self.parts(x) if len(x) > LONG_CHUNK else (x,))]
+        return cs
+
+    def _block(self, keys_of: np.ndarray, first: np.ndarray, chunks: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, number of ids per row) of rows of chunks; first: the place of a row's first chunk in its text."""
         number: dict[str, int] = {}
         per, which = [], []
-        for t in texts:
-            cs = self.find(" " + t)
+        for cs in chunks:
             per.append(len(cs))
             which += [number.setdefault(x, len(number)) for x in cs]
         which = np.array(which, np.int64)
         per = np.array(per, np.int64)
-        row = np.repeat(np.arange(len(texts)), per)
-        place = np.arange(len(which)) - np.repeat(np.cumsum(per) - per, per)
+        row = np.repeat(np.arange(len(chunks)), per)
+        place = np.arange(len(which)) - np.repeat(np.cumsum(per) - per - first, per)
         keys, start, piece, final = self.lattice(list(number))
         roots = final - np.fromiter(map(len, number), np.int64, len(number))
         with np.errstate(over="ignore"):
@@ -193,8 +225,8 @@ class Sampler:
             state, root = final[which[live]], roots[which[live]]
             took, said, step = [], [], 0
             while len(live):
-                u = (_mixed(noise[live] + _U(step) * _U(0x8CB92BA72F3D8DD7)) >> _U(11)).astype(np.float64) * 2.0**-53
-                e = np.searchsorted(keys, state + u, side="right")
+                u = (_mixed(noise[live] + _U(step) * _U(0x8CB92BA72F3D8DD7)) >> _U(64 - DRAW_BITS)).astype(np.int64)
+                e = np.searchsorted(keys, (state << DRAW_BITS) | u, side="right")
                 took.append(live)
                 said.append(piece[e])
                 state = start[e]
@@ -214,8 +246,8 @@ class Sampler:
             spelt = [self.byte_ids[list(chr(-1 - x).encode())] for x in out[odd].tolist()]
             width = np.ones(len(out), np.int64)
             width[odd] = [len(x) for x in spelt]
-            row_of = np.repeat(np.arange(len(texts)), n_row)
-            n_row = np.bincount(row_of, weights=width, minlength=len(texts)).astype(np.int64)
+            row_of = np.repeat(np.arange(len(chunks)), n_row)
+            n_row = np.bincount(row_of, weights=width, minlength=len(chunks)).astype(np.int64)
             to = np.cumsum(width) - width
             wide = np.empty(width.sum(), np.int64)
             plain = out >= 0
@@ -226,28 +258,38 @@ class Sampler:
 
     def encode(self, keys: list[int | None], texts: list[str | None], verify: bool = True) -> list[np.ndarray]:
         """Sampled ids of each text."""
-        none = np.zeros(0, np.int64)
-        out: list[np.ndarray] = [none] * len(texts)
-        held: list[int] = []
+        found: dict[int, list[np.ndarray]] = {}
+        held: list[tuple[int, int, list[str]]] = []  # text, place of its first chunk here, chunks
 
         def flush() -> None:
             if held:
-                ids, n = self._block(np.array([NULL_KEY if keys[i] is None else keys[i] for i in held], np.int64), [texts[i] for i in held])
-                for i, x in zip(held, np.split(ids, np.cumsum(n)[:-1]), strict=True):
-                    out[i] = x
-                    if verify and self.decode(x) != texts[i]:
-                        raise ValueError(f"row key {keys[i]}: the pieces do not decode to the text")
+                of = [NULL_KEY if keys[i] is None else keys[i] for i, _, _ in held]
+                ids, n = self._block(np.array(of, np.int64), np.array([k for _, k, _ in held], np.int64), [cs for _, _, cs in held])
+                for (i, _, _), x in zip(held, np.split(ids, np.cumsum(n)[:-1]), strict=True):
+                    found.setdefault(i, []).append(x)
                 held.clear()
 
         size = 0
         for i, t in enumerate(texts):
-            if t:
-                held.append(i)
-                size += len(t)
-                if size >= BLOCK_CHARS:
-                    flush()
-                    size = 0
+            if not t:
+                continue
+            cs, k = self.chunks(t), 0
+            size += len(t) + 1
+            if size >= BLOCK_CHARS:  # fill this block, and further ones with the rest of a very long text
+                size -= len(t) + 1
+                for j, x in enumerate(cs, 1):
+                    size += len(x)
+                    if size >= BLOCK_CHARS:
+                        held.append((i, k, cs[k:j]))
+                        flush()
+                        k, size = j, 0
+            if k < len(cs):
+                held.append((i, k, cs[k:]))
         flush()
+        out = [np.concatenate(found.pop(i)) if t else np.zeros(0, np.int64) for i, t in enumerate(texts)]
+        for x, k, t in zip(out, keys, texts, strict=True) if verify else ():
+            if self.decode(x) != (t or "") and t:
+                raise ValueError(f"row key {k}: the pieces do not decode to the text")
         return out
 
     def decode(self, ids: np.ndarray) -> str:
