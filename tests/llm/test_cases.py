@@ -1,5 +1,7 @@
 """Nulls, empty and very long texts, ties, repeated rows, empty tables and clashing columns."""
 
+import gzip
+import hashlib
 import io
 import itertools
 import math
@@ -112,7 +114,16 @@ def test_cells_bring_neighbours_together(grid, cosine):
 def test_warc(spark):
     rows = [(1, "http://a/x y\n", "<p>é</p>"), (2, None, None), (3, "http://b", ""), (3, "http://b", ""), (5, "http://c", "<p>é</p>"), (None, "http://d", "<p>é</p>"), (None, None, "alone"), (7, "u", "z" * 2_000_000)]
     df = spark.createDataFrame([(*r, 1) for r in rows], "page_id long, url string, html string, sha1 int")
-    got = warc.read_archives(warc.write_archives(df, C.workspace(spark, "t"))).collect()
+    archives = warc.write_archives(df, C.workspace(spark, "t"))
+    for r in archives.collect():  # the file is one gzip member per record, and nothing around them
+        data = open(r.archive.removeprefix("file://"), "rb").read()
+        assert len(data) == r.bytes
+        for _ in range(r.records):
+            z = zlib.decompressobj(31)
+            assert z.decompress(data).startswith(b"WARC/1.1\r\nWARC-Type: re")
+            data = z.unused_data
+        assert not data
+    got = warc.read_archives(archives).collect()
     key = lambda r: (r.page_id is None, r.page_id, r.payload_bytes)
     out = [(r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in sorted(got, key=key)]
     assert out[:6] == [(1, 9, "response", None), (2, 0, "response", None), (3, 0, "revisit", 2), (3, 0, "revisit", 2), (5, 9, "revisit", 1), (7, 2_000_000, "response", None)]
@@ -126,13 +137,55 @@ def test_warc(spark):
 
 def test_warc_broken():
     good = warc.record(1, "u", b"payload", warc.digest(b"payload"), None, None, False)
-    assert [x[1:4] for x in warc.read_records(io.BytesIO(good * 3))] == [(1, "u", "response")] * 3
+    assert [x[1:5] for x in warc.read_records(io.BytesIO(good * 3))] == [("urn:page:1", 1, "u", "response")] * 3
     with pytest.raises(ValueError):
         list(warc.read_records(io.BytesIO(good[:-9])))
     with pytest.raises(ValueError):
         list(warc.read_records(io.BytesIO(warc.record(1, "u", b"payload", warc.digest(b"other"), None, None, False))))
 
 
+def _member(fields, block, version="1.0"):
+    head = f"WARC/{version}\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields.items()) + f"Content-Length: {len(block)}\r\n\r\n"
+    return gzip.compress(head.encode() + block + b"\r\n\r\n")
+
+
+def test_warc_of_others(spark, tmp_path):
+    """Records as crawlers write them: all types, foreign ids, other and missing digests, HTTP without a length."""
+    body = b"<p>hi</p>" * 20_000
+    page = b"HTTP/1.1 200 OK\r\nServer: x\r\n\r\n" + body
+    chunked = b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n4\r\nabcd\r\n3;x=y\r\nefg\r\n0\r\n\r\n"
+    http = {"Content-Type": "application/http; msgtype=response"}
+    uuid = "<urn:uuid:92283950-ef2f-4d72-b224-f54c6ec90bb0>"
+    records = [
+        _member({"WARC-Type": "warcinfo", "WARC-Record-ID": uuid, "Content-Type": "application/warc-fields"}, b"software: x\r\n"),
+        _member({"warc-type": "response", "WARC-Record-ID": uuid, "WARC-Target-URI": "<http://a/>", "WARC-Payload-Digest": f"sha1:{warc.digest(body)}", "WARC-Block-Digest": f"sha256:{hashlib.sha256(page).hexdigest()}", **http}, page, "1.1"),
+        _member({"WARC-Type": "request", "WARC-Record-ID": uuid, "Content-Type": "application/http; msgtype=request"}, b"GET / HTTP/1.1\r\nHost: a\r\n\r\n"),
+        _member({"WARC-Type": "response", "WARC-Record-ID": uuid, "WARC-Payload-Digest": f"md5:{hashlib.md5(b'abcdefg').hexdigest()}", **http}, chunked),
+        _member({"WARC-Type": "metadata", "WARC-Record-ID": uuid, "WARC-Block-Digest": "blake9:whatever", "X-Long": "a\r\n b"}, b"k: v\r\n"),
+        _member({"WARC-Type": "resource", "WARC-Record-ID": uuid, "WARC-Target-URI": "dns:a"}, b""),
+        _member({"WARC-Type": "revisit", "WARC-Record-ID": uuid, "WARC-Refers-To": uuid, "WARC-Payload-Digest": f"sha1:{warc.digest(body)}", **http}, b"HTTP/1.1 304 Not Modified\r\n\r\n"),
+        _member({"WARC-Type": "novel"}, b"?"),
+    ]
+    got = list(warc.read_records(io.BytesIO(b"".join(records))))
+    assert [x[4] for x in got] == ["warcinfo", "response", "request", "response", "metadata", "resource", "revisit", "novel"]
+    assert [x[5] for x in got] == [b"software: x\r\n", body, b"", b"abcdefg", b"k: v\r\n", b"", None, b"?"]
+    assert [x[2] for x in got] == [None] * 8 and got[1][1] == uuid[1:-1] and got[1][3] == "http://a/" and got[6][9] == uuid[1:-1]
+    assert [x[0] for x in got] == [0, *itertools.accumulate(map(len, records[:-1]))]
+    (tmp_path / "x.warc.gz").write_bytes(b"".join(records))
+    rows = warc.read_archives(spark.createDataFrame([(f"file://{tmp_path}/x.warc.gz",)], "archive string")).collect()
+    assert [(r.record_type, r.payload_bytes) for r in sorted(rows, key=lambda r: r.byte_offset)] == [(x[4], x[6]) for x in got]
+    for broken in (
+        _member({"WARC-Type": "response", "WARC-Payload-Digest": f"md5:{hashlib.md5(b'no').hexdigest()}", **http}, page),
+        _member({"WARC-Type": "resource", "WARC-Block-Digest": f"sha1:{warc.digest(b'no')}"}, b"yes"),
+        _member({"WARC-Record-ID": uuid}, b"no type"),
+        gzip.compress(b"HTTP/1.1 200 OK\r\n\r\n"),
+        gzip.compress(b"WARC/1.0\r\nWARC-Type: resource\r\nContent-Length: 2\r\n\r\nabc\r\n\r\n"),
+        b"plain text",
+    ):
+        with pytest.raises(ValueError):
+            list(warc.read_records(io.BytesIO(records[0] + broken)))
+
+
 @pytest.mark.parametrize(("batches", "fanout"), [(1, 2), (5, 2), (9, 3)])
 def test_lines(docs, batches, fanout):
     got = sorted((r.doc_id, r.n_dropped, r.kept_text) for r in linededup.dedup_lines(docs, n_batches=batches, fanout=fanout).collect() if r.doc_id in (0, 1, 2, 6, 7))

@@ -3,14 +3,18 @@
 `write_archives` writes pages as response and revisit records, an archive per task, to a folder that
 driver and executors share; `read_archives` streams archives record by record: zlib decompresses a
 member as its bytes arrive, the header says how long the block is, and block and payload digests are
-verified. Memory is bounded by one record. Archives are written under a name of their own attempt and
+fed chunk by chunk and verified. Memory is bounded by one record's payload. Archives are written under a name of their own attempt and
 listed in a manifest table once the task's output is committed, so a lost or repeated task leaves no
 half archive in a result.
 
 Of records with equal payloads (SHA-1 and length) of at least `min_revisit_bytes` the one with the
 smallest page_id is the response, others revisit it by the identical-payload-digest profile.
 
-Defined results. Null html: empty payload. Null url: the record's own URN is its target. Null
+The reader takes archives of any writer: records of every type come out (payload: the body of an HTTP block, else the
+block), ids other than this writer's URNs have a null page_id, digests may be missing, or of several algorithms
+in base32 or hexadecimal, and a chunked body whose digest is of its content is given as its content.
+
+Defined results. Very long payloads are written and read whole, up to the 2 GB that a Spark value can hold. Null html: empty payload. Null url: the record's own URN is its target. Null
 page_id: a response that nothing refers to, or a revisit of the smallest id. Repeated rows of that
 smallest id: each a response. Empty table: no archive, empty result. Control characters and spaces
 in urls are percent-encoded. Other columns are not written.
@@ -39,7 +43,9 @@ DATE = "2024-01-01T00:00:00Z"
 URN = "urn:page:"
 CHUNK, BATCH_BYTES = 1 << 16, 8 << 20
 SAFE = "".join(chr(c) for c in range(33, 127))
-RECORDS = "archive string, byte_offset long, page_id long, url string, record_type string, payload binary, payload_bytes long, payload_digest string, refers_to long"
+#: Bytes of a header at most, and the digest algorithms that are checked.
+MOST_HEADER, KNOWN_DIGESTS = 1 << 20, ("md5", "sha1", "sha256", "sha512")
+RECORDS = "archive string, byte_offset long, record_id string, page_id long, url string, record_type string, payload binary, payload_bytes long, payload_digest string, refers_to long, refers_to_id string"
 
 
 def digest(data: bytes) -> str:
@@ -85,7 +91,10 @@ class Member:
             self.raw = self.source.read(CHUNK)
             if not self.raw:
                 raise ValueError("the archive ends within a gzip member")
-        self.out += self.z.decompress(self.raw, CHUNK)
+        try:
+            self.out += self.z.decompress(self.raw, CHUNK)
+        except zlib.error as e:
+            raise ValueError(f"not a gzip member: {e}") from e
         self.raw = self.z.unused_data if self.z.eof else self.z.unconsumed_tail
         return True
 
@@ -93,59 +102,146 @@ class Member:
         seen = 0
         while (at := self.out.find(mark, seen)) < 0:
             seen = max(0, len(self.out) - len(mark) + 1)
-            if not self._more():
+            if len(self.out) > MOST_HEADER or not self._more():
                 raise ValueError("the header does not end")
         got = bytes(self.out[: at + len(mark)])
         del self.out[: at + len(mark)]
         return got
 
-    def exactly(self, n: int) -> bytes:
-        while len(self.out) < n:
-            if not self._more():
+    def block(self, n: int) -> Iterator[bytes]:
+        """The next n bytes, as they are inflated."""
+        while n:
+            if not self.out and not self._more():
                 raise ValueError("the block is shorter than its Content-Length")
-        got = bytes(self.out[:n])
-        del self.out[:n]
-        return got
+            got = bytes(self.out[:n])
+            del self.out[:n]
+            n -= len(got)
+            if got:
+                yield got
 
     def close(self) -> bytes:
         """Inflate what is left, which must be the record's end; the bytes after the member."""
         while self._more():
-            pass
+            if len(self.out) > 4:
+                break
         if bytes(self.out) != b"\r\n\r\n":
             raise ValueError("the block is longer than its Content-Length")
         return self.raw
 
 
 def _fields(head: bytes) -> dict[str, str]:
-    lines = head.decode().split("\r\n")
-    return {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:] if x)}
+    """Named fields of a header block, names in lower case; a line that begins with white space continues the last."""
+    out: dict[str, str] = {}
+    last = None
+    for line in head.decode("utf-8", "replace").split("\r\n")[1:]:
+        if line[:1] in (" ", "\t") and last:
+            out[last] += " " + line.strip()
+        elif line:
+            name, _, value = line.partition(":")
+            last = name.strip().lower()
+            out.setdefault(last, value.strip())
+    return out
+
+
+class Labelled:
+    """A digest field, `algorithm:value`, checked against bytes as they pass. Values are base32 or hexadecimal;
+    what names no algorithm known here is not checked."""
+
+    def __init__(self, field: str | None) -> None:
+        name, _, self.value = (field or "").strip().partition(":")
+        name = name.lower().replace("-", "")
+        self.hash = hashlib.new(name) if self.value and name in KNOWN_DIGESTS else None
+
+    def update(self, data: bytes) -> None:
+        if self.hash is not None:
+            self.hash.update(data)
+
+    def fits(self) -> bool:
+        if self.hash is None:
+            return True
+        got = self.hash.digest()
+        return self.value.lower() == got.hex() or self.value.upper().rstrip("=") == base64.b32encode(got).decode().rstrip("=")
+
+
+def _unchunked(data: bytes) -> bytes | None:
+    """The content of an HTTP/1.1 chunked body; None if it is not one."""
+    out, at = bytearray(), 0
+    while (end := data.find(b"\r\n", at)) >= 0:
+        try:
+            n = int(data[at:end].partition(b";")[0], 16)
+        except ValueError:
+            return None
+        if n == 0:
+            return bytes(out)
+        if n < 0 or end + 2 + n > len(data):
+            return None
+        out += data[end + 2 : end + 2 + n]
+        at = end + 4 + n
+    return None
+
+
+def _own_id(field: str | None) -> int | None:
+    """The page id in one of this writer's URNs; other ids, and none, are null."""
+    name = (field or "").strip().strip("<>")
+    number = name.removeprefix(URN)
+    return int(number) if name != number and number.lstrip("-").isdecimal() and number.isascii() else None
+
+
+def _block(m: Member, f: dict[str, str], name: str) -> tuple[bytes, int, Labelled]:
+    """(payload, its length by the block's own framing, the payload's digest field) of the block that m holds.
+    Digests are fed as the bytes arrive; the payload, which is the result, is all that is kept of the block."""
+    whole, part = Labelled(f.get("warc-block-digest")), Labelled(f.get("warc-payload-digest"))
+    http = f.get("content-type", "").partition(";")[0].strip().lower() == "application/http"
+    head, payload = bytearray(), bytearray()
+    inside = not http
+    for data in m.block(int(f["content-length"])):
+        whole.update(data)
+        if not inside:
+            seen = max(0, len(head) - 3)
+            head += data
+            at = head.find(b"\r\n\r\n", seen)
+            if at < 0:
+                continue
+            inside, data = True, bytes(head[at + 4 :])
+            del head[at + 4 :]
+        part.update(data)
+        payload += data
+    if not whole.fits():
+        raise ValueError(f"{name}: the block's digest is another")
+    said = _fields(bytes(head)) if http else {}
+    if f["warc-type"] == "revisit":  # its block holds no payload: neither length nor digest is of these bytes
+        n = said.get("content-length", "")
+        return b"", int(n) if n.isdecimal() else len(payload), part
+    if not part.fits():
+        chunked = _unchunked(bytes(payload)) if said.get("transfer-encoding", "").lower() == "chunked" else None
+        again = Labelled(f.get("warc-payload-digest"))
+        again.update(chunked or b"")
+        if chunked is None or not again.fits():
+            raise ValueError(f"{name}: the payload's digest is another")
+        payload = bytearray(chunked)
+    return bytes(payload), len(payload), part
 
 
 def read_records(source: BinaryIO) -> Iterator[tuple]:
-    """(byte offset, page_id, url, type, payload or None, payload bytes, payload digest, refers_to) of each
-    record in order. Raises ValueError at a broken frame or digest."""
+    """(byte offset, record id, page_id, url, type, payload or None, payload bytes, payload digest, refers_to,
+    refers_to_id) of each record in order, of any type and writer. Raises ValueError at a broken frame or digest."""
     counted = Counted(source)
     rest = counted.read(CHUNK)
     while rest:
         begin = counted.n - len(rest)
         m = Member(counted, rest)
         head = m.until(b"\r\n\r\n")
-        if not head.startswith(b"WARC/1."):
+        if not head.startswith(b"WARC/"):
             raise ValueError("not a WARC record")
         f = _fields(head)
-        block = m.exactly(int(f["content-length"]))
-        if f.get("warc-block-digest", f"sha1:{digest(block)}") != f"sha1:{digest(block)}":
-            raise ValueError(f"{f['warc-record-id']}: the block's digest is another")
-        http, _, payload = block.partition(b"\r\n\r\n")
-        want = f["warc-payload-digest"].removeprefix("sha1:")
-        revisit = f["warc-type"] == "revisit"
-        n = int(_fields(http)["content-length"])
-        if not revisit and (digest(payload) != want or len(payload) != n):
-            raise ValueError(f"{f['warc-record-id']}: the payload's digest or length is another")
-        ids = [f.get(k, "<>")[1:-1].removeprefix(URN) for k in ("warc-record-id", "warc-refers-to")]
-        page, first = (int(x) if x else None for x in ids)
+        name, kind, size = f.get("warc-record-id", ""), f.get("warc-type", ""), f.get("content-length", "")
+        if not kind or not size.isdecimal():
+            raise ValueError(f"{name or begin}: a record without type or length")
+        payload, n, want = _block(m, f, name)
         rest = m.close() or counted.read(CHUNK)
-        yield begin, page, f["warc-target-uri"], f["warc-type"], None if revisit else payload, n, want, first
+        refers = f.get("warc-refers-to")
+        url = f.get("warc-target-uri")
+        yield begin, name.strip("<>") or None, _own_id(name), url.strip("<>") if url else None, kind, None if kind == "revisit" else payload, n, want.value or None, _own_id(refers), refers.strip("<>") if refers else None
 
 
 def open_fs(path: str):
@@ -163,7 +259,7 @@ def _writer(folder: str):
         for b in batches:
             for r in b.to_pylist():
                 if out is None:
-                    out = system.open_output_stream(path)
+                    out = system.open_output_stream(path, compression=None)  # members are compressed here, one a record
                 data = record(r["page_id"], r["url"], r["payload"], base64.b32encode(bytes.fromhex(r["sha1"])).decode(), r["first_id"], r["first_url"], r["revisit"])
                 out.write(data)
                 n, size = n + 1, size + len(data)
@@ -199,10 +295,10 @@ def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for archive in b.column(0).to_pylist():
             system, path = open_fs(archive)
             rows, held = [], 0
-            with system.open_input_stream(path) as f:
+            with system.open_input_stream(path, compression=None) as f:
                 for x in read_records(f):
                     rows.append((archive, *x))
-                    held += len(x[4] or b"")
+                    held += len(x[5] or b"")
                     if held >= BATCH_BYTES or len(rows) >= 10_000:
                         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
                         rows, held = [], 0
