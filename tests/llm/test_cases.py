@@ -399,6 +399,31 @@ def test_packing(docs):
     assert packing.pack_documents(docs.limit(0), packing.tokenizer_path()).count() == 0
 
 
+@pytest.mark.parametrize(("share", "salt_rows"), [(1.0, 100), (0.5, 100), (0.0, 7), (0.9, 1 << 17)])
+def test_packing_of_a_hot_length(spark, share, salt_rows):
+    """Full pieces go through no window or shuffle; other lengths are numbered in groups of about salt_rows."""
+    rng = random.Random(8)
+    rows = [(i, 0, 0, 32 if rng.random() < share else rng.choice([5, 5, 5, 9, 20]), i % 3) for i in range(2000)] + [(None, 0, 0, 32, 1), (7, 0, 0, 32, 1), (7, 0, 0, 32, 1)]
+    df = spark.createDataFrame(rows, "doc_id long, piece int, start long, length long, ids_crc32 long").repartition(3)
+    out = packing.pack(df, 32, salt_rows)
+    got = out.collect()
+    assert sorted(map(str, (tuple(r)[:5] for r in got))) == sorted(map(str, rows))
+    seqs = {}
+    for r in got:
+        seqs.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for s in seqs.values():
+        s.sort()
+        assert [o for o, _ in s] == [0, *itertools.accumulate(n for _, n in s)][:-1] and sum(n for _, n in s) <= 32
+    counts = {}
+    for r in rows:
+        counts[r[3]] = counts.get(r[3], 0) + 1
+    full = counts.pop(32, 0)
+    assert len(seqs) == full + sum(m for _, m in packing.solve(counts, 32))
+    if share == 1:
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "Window" not in plan and "Exchange hashpartitioning" not in plan
+
+
 def test_pipeline_brute_force(spark, docs, sf_dir):
     """Each stage on the odd table: its columns, and what it keeps."""
     kept = docs

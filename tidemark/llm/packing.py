@@ -9,8 +9,13 @@
    sequence; the largest partner, where no two or more remaining pieces together are longer than it.
    What is left is packed best-fit decreasing, again in whole classes of equal bins. Both give patterns
    with multiplicities, at most a few per length.
-3. Pieces of a length are numbered: a window per (length, salt) plus the salts' offsets, so that a length
-   which most documents share is no single task. The number leads to pattern, sequence and offset.
+3. A piece of full length is a sequence by itself and is numbered where it is read, without a shuffle; most pieces
+   of a corpus of long documents are such. Pieces of each other length are numbered by a window per (length, salt)
+   plus the salts' offsets, with as many salts as the length's count asks for, so no window holds more than
+   about SALT_ROWS rows. The number leads to pattern, sequence and offset.
+
+Very long texts are encoded whole. Ties: pieces of equal length are interchangeable, and are taken in the order of
+their ids.
 
 Defined results. Null or empty text: the end id alone. Null doc_id: packed, its id stays null. Repeated
 rows: packed each. Empty table: empty result. Other columns are not read. A text that holds the string
@@ -33,8 +38,8 @@ from tidemark.llm import common as C
 
 CAPACITY, END_ID = 1024, 2
 TOKENIZER = "byte_bpe_50k.json"
-#: Window groups per length, and cached pretokens per Python worker.
-SALTS, CACHED = 64, 300_000
+#: Rows of a window group, on average, and cached pretokens per Python worker.
+SALT_ROWS, CACHED = 1 << 17, 300_000
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -272,17 +277,31 @@ def _placer(table: dict[str, np.ndarray]):
     return run
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY, salts: int = SALTS) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = CAPACITY, salt_rows: int = SALT_ROWS) -> DataFrame:
     """pieces with sequence_id and offset. pieces must be a table that reads the same each time."""
+    n_of = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}  # at most capacity rows
+    n_full = n_of.pop(capacity, 0)
+    patterns = solve(n_of, capacity)
+    table, n_other = slots(patterns), sum(m for _, m in patterns)
+    # full pieces: any numbers after the others', by partition and place in it
+    full = pieces.where(F.col("length") == capacity)
+    full = full.withColumns({"sequence_id": F.monotonically_increasing_id() + n_other, "offset": F.lit(0).cast("long")})
+    if not n_of:
+        return full
     w = ["length", "salt"]
-    p = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)).cast("int"))
-    got = sorted(tuple(r) for r in p.groupBy(*w).count().collect())  # at most capacity * salts rows
-    counts: dict[int, int] = defaultdict(int)
-    before = np.zeros((capacity + 1, salts), np.int64)
-    for size, salt, n in got:
-        before[size, salt] = counts[size]
-        counts[size] += n
-    table = slots(solve(counts, capacity))
+    salts = np.ones(capacity, np.int64)
+    for size, n in n_of.items():
+        salts[size] = -(-n // salt_rows)
+    p = pieces.where(F.col("length") < capacity)
+    if salts.max() == 1:
+        p, before = p.withColumn("salt", F.lit(0)), {}
+    else:
+        wide = F.element_at(F.lit(salts[1:].tolist()), F.col("length").cast("int"))
+        p = p.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), wide).cast("int"))
+        before, seen = {}, defaultdict(int)
+        for size, salt, n in sorted(tuple(r) for r in p.groupBy(*w).count().collect()):  # a row per salt_rows pieces, or length
+            before[size, salt] = seen[size]
+            seen[size] += n
     order = Window.partitionBy(*w).orderBy("doc_id", "piece", "ids_crc32", "start")
     ranked = p.withColumn("rank", F.row_number().over(order).cast("long") - 1)
     place = _placer(table)
@@ -290,14 +309,18 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, salts: int = SALTS) -> Dat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def based() -> Iterator[pa.RecordBatch]:
             for b in batches:
-                rank = b.column("rank").to_numpy() + before[b.column("length").to_numpy(), b.column("salt").to_numpy()]
+                rank = b.column("rank").to_numpy()
+                if before:
+                    key = zip(b.column("length").to_pylist(), b.column("salt").to_pylist(), strict=True)
+                    rank = rank + np.fromiter((before[k] for k in key), np.int64, b.num_rows)
                 b = b.drop_columns(["rank", "salt"])
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(rank)], [*b.schema.names, "rank"])
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(rank, pa.int64())], [*b.schema.names, "rank"])
 
         yield from place(based())
 
     schema = pieces.schema.simpleString()[len("struct<") : -1]
-    return ranked.mapInArrow(run, f"{schema},sequence_id:bigint,offset:bigint")
+    placed = ranked.mapInArrow(run, f"{schema},sequence_id:bigint,offset:bigint")
+    return placed.unionByName(full) if n_full else placed
 
 
 def pack_documents(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = True) -> DataFrame:
