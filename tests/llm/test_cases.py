@@ -7,9 +7,11 @@ import itertools
 import math
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tidemark.llm import common as C
@@ -222,18 +224,117 @@ def test_rules(docs):
 
 
 def test_lm(docs, spark):
-    got = lm.score_documents(docs, docs).collect()
+    got = lm.score_documents(docs, F.lit(True)).collect()
     assert len(got) == len(TEXTS)
     assert all(r.n_tokens == len(lm.tokens(t)) + 1 for r, t in zip(sorted(got, key=lambda r: r.n_tokens), sorted((t for _, t in TEXTS), key=lambda t: len(lm.tokens(t))), strict=True))
-    none = lm.score_documents(docs, docs.limit(0)).collect()
+    none = lm.score_documents(docs, F.lit(None).cast("boolean")).collect()
     assert {r.train_tokens for r in none} == {0} and all(math.isfinite(r.score) for r in none)
-    assert lm.score_documents(docs.limit(0), docs).count() == 0
+    assert lm.score_documents(docs.limit(0), F.lit(True)).count() == 0
+    assert lm.score_documents(docs.where("doc_id is null"), F.lit(True)).count() == 2
+
+
+SMALL_LM = lm.Sizes(head=12, tail=8, near=5, near_tail=4, dim=6)
+
+
+def _lm_params(v):
+    rng, d = np.random.default_rng(1), v.sizes.dim
+    return lm.Params(*[rng.normal(0, 0.4, s).astype(np.float32) for s in ((v.n_context, d), (v.size, d), (v.size,), (d, d), (d, d))])
 
 
 def test_lm_is_normalised():
-    rng = np.random.default_rng(1)
-    table = lm.train(rng.poisson(0.01, (lm.N_CLASSES, lm.N_CLASSES)).astype(float))
-    assert np.allclose((10.0 ** table.astype(float)).sum(axis=1), 1, atol=1e-4)
+    v = lm.Vocabulary([f"w{i}".encode() for i in range(16)], SMALL_LM)
+    p = _lm_params(v)
+    m = lm.Normalised(p)
+    for far in range(v.n_context):
+        for near in range(v.n_context):
+            n = v.size
+            assert (10 ** m.log10(np.full(n, far), np.full(n, near), np.arange(n))).sum() == pytest.approx(1, abs=1e-5)
+
+
+def test_lm_gradients():
+    """The gradients against differences of the noise-contrastive objective."""
+    v = lm.Vocabulary([f"w{i}".encode() for i in range(16)], SMALL_LM)
+    rng = np.random.default_rng(3)
+    noise = rng.random(v.size)
+    noise /= noise.sum()
+    t = lm.Trainer(_lm_params(v), noise, [1])
+    far, near = rng.integers(0, v.n_context, (2, 40))
+    unit, xs = rng.integers(0, v.size, 40), rng.integers(0, v.size, lm.NOISE)
+
+    def objective(p):
+        s = lambda i, u: 1 / (1 + math.exp(-((p[0][far[i]] @ p[3] + p[0][near[i]] @ p[4]) @ p[1][u] + p[2][u] - math.log(lm.NOISE * noise[u]))))
+        return sum(math.log(s(i, unit[i])) + sum(math.log(1 - s(i, x)) for x in xs) for i in range(40)) / 40
+
+    p = [x.astype(np.float64) for x in t.p.arrays()]
+    for name, at, g in t.gradients(far, near, unit, xs):
+        k = ["r", "q", "b", "far", "near"].index(name)
+        dense = np.zeros_like(p[k])
+        dense[at] = g
+        for _ in range(12):
+            spot = tuple(rng.integers(0, n) for n in p[k].shape)
+            old = p[k][spot]
+            p[k][spot] = old + 1e-4
+            up = objective(p)
+            p[k][spot] = old - 1e-4
+            assert dense[spot] == pytest.approx((up - objective(p)) / 2e-4, abs=2e-5)
+            p[k][spot] = old
+
+
+@pytest.mark.parametrize("parts", [1, 3])
+def test_lm_scores_by_brute_force(spark, monkeypatch, parts):
+    """score against a softmax over all units, token by token, with counts taken anew."""
+    rng = random.Random(4)
+    texts = [(i, " ".join(rng.choice(["the", "of", "Cat", "dog", "cat", "sat", "x" * 70, f"rare{rng.randrange(40)}"]) for _ in range(rng.randrange(30)))) for i in range(40)] + [(40, None), (41, ""), (42, "unseen words only")]
+    learns = F.col("doc_id") < 30
+    held = {}
+
+    def trained(spark_, encoded, n_tokens, words, noise, name, sizes, rounds):
+        held.update(words=words, noise=noise)
+        assert encoded.count() == 30
+        return _lm_params(lm.Vocabulary(words, SMALL_LM))
+
+    monkeypatch.setattr(lm, "train", trained)
+    got = {r.doc_id: r for r in lm.score_documents(spark.createDataFrame(texts, "doc_id long, text string").repartition(parts), learns, SMALL_LM, cached=18).collect()}
+    c = Counter(w for i, t in texts if i < 30 for w in lm.tokens(t))
+    order = sorted((w for w in c if len(w) <= 64), key=lambda w: (-c[w], w))
+    assert held["words"] == order[: len(held["words"])] and len(held["words"]) <= 18
+    v = lm.Vocabulary(held["words"], SMALL_LM)
+    p = _lm_params(v)
+    head = {w: 1 + k for k, w in enumerate(held["words"][: v.n_head])}
+    unit = lambda w: head.get(w) or v.first_tail + zlib.crc32(w[-2:]) % 8
+    near_of = lambda w: head[w] if head.get(w, 99) <= 5 else 1 + 5 + zlib.crc32(w[-2:]) % 8 % 4
+    total, types = Counter(), Counter()
+    for w, n in c.items():
+        total[unit(w)] += n
+        types[unit(w)] += 1
+    n_units = np.array([30, *(total[u] for u in range(1, v.size))]) + 0.1
+    assert held["noise"] == pytest.approx(n_units / n_units.sum())
+    for i, t in texts:
+        before, want = [0, 0], 0.0
+        for w in [*lm.tokens(t), None]:
+            z = (p.r[before[0]] @ p.far + p.r[before[1]] @ p.near) @ p.q.T + p.b
+            u = 0 if w is None else unit(w)
+            want += (z[u] - math.log(np.exp(z.astype(float)).sum())) / math.log(10)
+            if u >= v.first_tail:
+                want += math.log10((c[w] + 0.1) / (total[u] + 0.1 * (types[u] + 1)))
+            before = [before[1], 0 if w is None else near_of(w)]
+        assert got[i].score == pytest.approx(want, abs=1e-3), i
+
+
+def test_lm_rounds_average_tasks(spark):
+    """The tasks' parameters are averaged by tokens, whatever the tasks, and training raises the probability."""
+    words = [f"w{i}".encode() for i in range(12)]
+    v = lm.Vocabulary(words, SMALL_LM)
+    noise = np.full(v.size, 1 / v.size)
+    seqs = [np.array([1 + (k + j) % 3 for j in range(60)] + [0], "<u2").tobytes() for k in range(2400)]
+    df = spark.createDataFrame(list(enumerate(seqs)), "uid long, units binary").repartition(4)
+    at = np.array([1, 2, 3])
+    chance = lambda p: lm.Normalised(p).log10(at, np.roll(at, -1), np.roll(at, -2)).mean()
+    one = lm.train(spark, df, 61 * len(seqs), words, noise, "t1", SMALL_LM, rounds=1)
+    assert chance(one) > chance(lm.Params.start(v, noise)) + 0.3
+    again = lm.train(spark, df, 61 * len(seqs), words, noise, "t1", SMALL_LM, rounds=1)
+    assert np.array_equal(one.flat(), again.flat())
+    assert chance(lm.train(spark, df, 61 * len(seqs), words, noise, "t1", SMALL_LM, rounds=3)) > chance(one)
 
 
 def test_sliced_pairs():

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 from tests.conftest import DATA
-from tidemark.llm import packing, registry, spsample
+from tidemark.llm import lm, packing, registry, spsample
 
 DIR = f"{DATA}/sf0.001"
 
@@ -59,6 +59,38 @@ def test_op6_base_scores_and_held_out_gain(spark, documents):
     assert out.score.sum() > out.base_score.sum() + 0.1 * out.n_tokens.sum()
 
 
+def test_op6_held_out_perplexity(spark):
+    """Below that of a bigram over the same units, smoothed with its unigram as suits the held-out texts best."""
+    sf = f"{DATA}/sf0.1"
+    got = registry.QUERIES["op6_lm_scoring"](spark, sf).toPandas().set_index("doc_id")
+    docs = {r.doc_id: words(r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    held = {i for i in docs if zlib.crc32(str(i).encode()) % 10 == 0}
+    c = Counter(w for i in docs if i not in held for w in docs[i])
+    v = lm.Vocabulary(sorted(c, key=lambda w: (-c[w], w)))
+    units = {i: [0, *v.look(ws)[1].tolist(), 0] for i, ws in docs.items()}
+    one, two = Counter(), Counter()
+    for i, us in units.items():
+        if i not in held:
+            one.update(us[1:])
+            two.update(zip(us, us[1:], strict=False))
+    before = Counter()
+    for (a, _), n in two.items():
+        before[a] += n
+    n_all, total, types = sum(one.values()), Counter(), Counter()
+    for w, n in c.items():
+        total[v.look([w])[1][0]] += n
+        types[v.look([w])[1][0]] += 1
+    bigram = {}
+    for strength in (30, 300, 3000):
+        bigram[strength] = 0.0
+        for i in held:
+            us = units[i]
+            bigram[strength] += sum(math.log10((two[a, b] + strength * (one[b] + 0.1) / (n_all + 0.1 * v.size)) / (before[a] + strength)) for a, b in zip(us, us[1:], strict=False))
+            bigram[strength] += sum(math.log10((c.get(w, 0) + 0.1) / (total[u] + 0.1 * (types[u] + 1))) for w, u in zip(docs[i], us[1:], strict=False) if u >= v.first_tail)
+    out = got[got.held_out]
+    assert out.score.sum() > max(bigram.values())
+
+
 def test_op7_brute_force(spark, documents):
     import xxhash
 
