@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import keys as K
 from tidemark.operators import admission, hybrid, lexical, reconcile, semantic
-from tidemark.plans import ports
+from tests.conftest import DATA
+from tidemark.plans import ports, queries_retrieval
 
 WORDS = ["alpha", "beta_1", "gamma$", "delta", "eps", "zeta", "ab", "Theta", "iota9", "kappa"]
 
@@ -126,3 +127,34 @@ def test_running_limit_over_blocks(spark, monkeypatch):
     assert got == want
     b = reconcile.batches(spark.range(50).select(F.col("id").alias("ord")), 8)
     assert {r.ord: r.batch for r in b.collect()} == {i: i // 8 for i in range(50)}
+
+
+def test_both_ways_to_candidates(spark, monkeypatch):
+    """Scored where chunks are read, or joined with postings: the same ranks, scores and reasons; nulls and ties too."""
+    chunks = [(i, f"src/m{i % 5}.ts", "Alpha" if i % 4 == 0 else None, ["./m1.ts", "../zz", "", "src/m2.ts"][: i % 5] if i % 3 else None, f"alpha beta{i % 7} gamma gamma_{i % 2}" if i % 6 else None) for i in range(60)]
+    c = spark.createDataFrame(chunks, "ordinal long, path string, name string, imports array<string>, content string").repartition(3)
+    q = spark.createDataFrame([(1, "alpha gamma", "src/m1.ts"), (2, "beta3 nothing", "lib/src/m2.ts"), (3, "", "src/m4.ts"), (4, "unknown", None), (5, None, "")], "query_id int, query string, changed_path string")
+    show = lambda df: sorted(map(str, df.select("query_id", "rank", "ordinal", "score", "reasons").collect()))
+    for fill in (True, False):
+        here = show(lexical.rank_candidates(c, q, 8, fill))
+        with monkeypatch.context() as m:
+            m.setattr(lexical, "BROADCAST_ROWS", 0)
+            assert lexical.best_hits(c, q, 8) is None
+            assert show(lexical.rank_candidates(c, q, 8, fill)) == here
+    got = {tuple(r) for r in lexical.import_links(c, q).collect()}
+    needles = {x.removeprefix("./") for _, _, _, imports, _ in chunks for x in imports or ()}
+    paths = {1: "src/m1.ts", 2: "lib/src/m2.ts", 3: "src/m4.ts", 5: ""}
+    assert got == {(n, i) for n in needles for i, p in paths.items() if n in p}
+
+
+def test_no_nested_loops(spark):
+    """No plan of a retrieval compares all pairs; candidates are cut before they are shuffled."""
+    from tidemark.plans import catalog
+
+    for name in ("lexical_boosts", "hybrid_context", "context_packing"):
+        text = catalog.QUERIES[name](spark, f"{DATA}/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert "NestedLoop" not in text and "Cartesian" not in text and "MapInArrow" in text, name
+    chunks, q = queries_retrieval.rich_chunks(spark, f"{DATA}/sf0.001"), queries_retrieval.queries(spark, f"{DATA}/sf0.001")
+    for df in (lexical.hits(chunks, q), lexical.import_links(chunks, q)):
+        text = df._jdf.queryExecution().executedPlan().toString()
+        assert "NestedLoop" not in text and "Cartesian" not in text
