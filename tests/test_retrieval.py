@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import keys as K
-from tidemark.operators import admission, hybrid, lexical, reconcile, semantic
+from tidemark.operators import admission, hybrid, lexical, metrics, reconcile, semantic
 from tests.conftest import DATA
 from tidemark.plans import ports, queries_retrieval
 
@@ -158,3 +158,30 @@ def test_no_nested_loops(spark):
     for df in (lexical.hits(chunks, q), lexical.import_links(chunks, q)):
         text = df._jdf.queryExecution().executedPlan().toString()
         assert "NestedLoop" not in text and "Cartesian" not in text
+
+
+def test_blocks_of_sparse_numbers(spark, monkeypatch):
+    """Running counts over hashed, clustered and repeated numbers, in few blocks, against one sorted pass."""
+    monkeypatch.setattr(admission, "BLOCK", 7)
+    monkeypatch.setattr(admission, "BOUNDS", 4)
+    rng = np.random.default_rng(2)
+    for ords in (rng.permutation(200), np.unique(rng.integers(0, 1 << 40, 300)), np.concatenate((np.arange(150), (1 << 50) + np.arange(50)))):
+        rows = [(int(o), int(rng.integers(0, 2))) for o in rng.permutation(ords)]
+        d = spark.createDataFrame(rows, "ord long, __takes long")
+        got = {r["ord"]: r["__before"] for r in admission._places_before(d).collect()}
+        before = 0
+        for o, t in sorted(rows):
+            assert got[o] == before
+            before += t
+        blocks = d.groupBy(admission._block_of(d).alias("b")).count().collect()
+        assert len(blocks) <= -(-len(rows) // 7) and max(r["count"] for r in blocks) <= 40
+
+
+def test_upper_median(spark):
+    rng = np.random.default_rng(5)
+    rows = [("one", 4.0), ("two", 1.0), ("two", 2.0), ("none", None)] + [("many", float(x)) for x in rng.normal(size=5000)] + [("ties", float(x)) for x in rng.integers(0, 3, 4001)]
+    got = {r.k: (r["median"], r["mean"]) for r in metrics.upper_median(spark.createDataFrame(rows, "k string, v double"), ["k"], "v").collect()}
+    for k in ("one", "two", "many", "ties"):
+        v = sorted(x for a, x in rows if a == k)
+        assert got[k] == (v[len(v) // 2], pytest.approx(sum(v) / len(v)))
+    assert "none" not in got

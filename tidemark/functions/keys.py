@@ -60,3 +60,9 @@ def review_cache_key(request: dict, provider: str, identity: str, versions: dict
 
 def snapshot_id(base: str, head: str) -> str:
     return hashlib.sha256(f"{base}:{head}".encode()).hexdigest()
+
+
+def is_source_scoped(repository_id: Column) -> Column:
+    """Whether an id names a hosted repository, `owner/name` in lower case, as indexes once did; a checkout's is a digest."""
+    part = "[a-z0-9_.-]+"
+    return F.rlike(repository_id, F.lit(rf"\A{part}/{part}\z"))

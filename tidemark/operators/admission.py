@@ -25,29 +25,45 @@ def admit(files: DataFrame, ignored: Column | None = None, ignored_origin: Colum
     why = lambda reason, details: F.struct(F.lit(reason).alias("reason"), (details if isinstance(details, Column) else F.lit(details)).alias("details"))
     early = (
         F.when(F.col("__privacy").isNotNull(), F.col("__privacy"))
-        .when(origin, why("ignored_by_user", f"Origin path matched {policy_path}."))
-        .when(ignored, why("ignored_by_user", f"Matched {policy_path}."))
-        .when(F.col("file_type") == "generated", why("generated_file", "Generated artifact or snapshot."))
-        .when(~P.is_reviewable(F.col("file_type")), why("unsupported_file_type", F.concat(F.lit("File classified as "), F.col("file_type"), F.lit("."))))
+        .when(origin, why("ignored_by_user", f"its former path is named in {policy_path}"))
+        .when(ignored, why("ignored_by_user", f"named in {policy_path}"))
+        .when(F.col("file_type") == "generated", why("generated_file", "made by a tool, not written"))
+        .when(~P.is_reviewable(F.col("file_type")), why("unsupported_file_type", F.concat(F.lit("type: "), F.col("file_type"))))
     )
     d = d.withColumn("__early", early).withColumn("eligible", F.col("__early").isNull())
     has_patch = F.coalesce(F.col("patch"), F.lit("")) != ""
     takes = F.col("eligible") & has_patch & plannable
     d = _places_before(d.withColumn("__takes", takes.cast("long")))
-    late = F.when(F.col("eligible") & ~has_patch, why("missing_patch", "No textual patch is available for this otherwise reviewable file.")).when(F.col("eligible") & (F.col("__before") >= max_files), why("work_limit", f"Exceeded max file count {max_files}.")).when(F.col("eligible") & ~plannable, why("work_limit", "No diff content fits a request."))
+    late = F.when(F.col("eligible") & ~has_patch, why("missing_patch", "the source gave no text of the diff")).when(F.col("eligible") & (F.col("__before") >= max_files), why("work_limit", f"{max_files} files are already taken")).when(F.col("eligible") & ~plannable, why("work_limit", "no part of the diff is small enough for a request"))
     d = d.withColumn("__late", late).withColumn("__why", F.coalesce("__early", "__late"))
     d = d.withColumns({"decision": F.when(F.col("__why").isNull(), "admitted").otherwise("skipped"), "reason": F.col("__why.reason"), "details": F.col("__why.details"), "omitted": F.col("__late").isNotNull(), "blocked": F.coalesce(F.col("__early.reason").isin("sensitive_path", "sensitive_content", "ignored_by_user"), F.lit(False))})
     return d.drop("__privacy", "__early", "__late", "__why", "__takes", "__before")
 
 
-#: Files of one block of the running count.
-BLOCK = 100_000
+#: Rows of one block of a running count, about; blocks of a table, at most; bounds that a row is compared with at once.
+BLOCK, MOST_BLOCKS, BOUNDS = 100_000, 4096, 64
+
+
+def _block_of(d: DataFrame) -> Column:
+    """A number for each stretch of ord, stretches of about BLOCK rows whatever the values: bounded by quantiles."""
+    n = d.count()
+    if n <= BLOCK:
+        return F.lit(0)
+    k = min(MOST_BLOCKS, -(-n // BLOCK))
+    got = d.select(F.percentile_approx(F.col("ord").cast("long"), [i / k for i in range(1, k)], 20 * k)).first()[0]
+    bounds = sorted(set(got or []))
+    passed = lambda xs: F.size(F.filter(xs, lambda x: x <= F.col("ord")))
+    if len(bounds) <= BOUNDS:
+        return passed(F.lit(bounds))
+    far = passed(F.lit(bounds[::BOUNDS]))  # first among every BOUNDS-th bound, then among those up to the next such
+    near = F.slice(F.lit(bounds), F.greatest(far - 1, F.lit(0)) * BOUNDS + 1, BOUNDS)
+    return F.when(far == 0, 0).otherwise((far - 1) * BOUNDS + passed(near))
 
 
 def _places_before(d: DataFrame) -> DataFrame:
     """__before: the sum of __takes over smaller ord. Blocks of ord are summed in parallel; only their totals are
     summed in one task, so no window holds every file."""
-    d = d.withColumn("__block", F.floor(F.col("ord") / BLOCK))
+    d = d.withColumn("__block", _block_of(d))
     totals = d.groupBy("__block").agg(F.sum("__takes").alias("__total"))
     every = Window.orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.select("__block", F.coalesce(F.sum("__total").over(every), F.lit(0)).alias("__base"))

@@ -50,4 +50,4 @@ def checked_snapshot(index_meta: DataFrame, repository_id: str, revision: str) -
     """Raise unless the index is of this repository and revision."""
     got = index_meta.select("repository_id", "revision").first()
     if got is None or tuple(got) != (repository_id, revision):
-        raise ValueError("Repository context index is stale or belongs to a different repository/revision")
+        raise ValueError("the index was made for another repository or revision")

@@ -97,12 +97,12 @@ def structure_issues(files: DataFrame, chunks: DataFrame, repository_id: str, re
     chunks of another identity. None for a sound index."""
     ids = files.select("path", F.explode("chunk_ids").alias("id"))
     issue = lambda df, name, what: df.select(F.lit(name).alias("issue"), F.col(what).cast("string").alias("subject"))
-    dup = issue(files.groupBy("path").count().where("count > 1"), "duplicate file path", "path")
+    dup = issue(files.groupBy("path").count().where("count > 1"), "path listed twice", "path")
     j = ids.join(chunks.select("id", F.col("path").alias("c_path")), "id", "left")
-    lost = issue(j.where(F.coalesce(F.col("c_path") != F.col("path"), F.lit(True))), "file references a chunk that is missing or has another path", "path")
+    lost = issue(j.where(F.coalesce(F.col("c_path") != F.col("path"), F.lit(True))), "chunk listed but not there, or under another path", "path")
     owners = chunks.select("id").join(ids.groupBy("id").count(), "id", "left")
-    alone = issue(owners.where(F.coalesce("count", F.lit(0)) != 1), "chunks and file entries disagree", "id")
-    other = issue(chunks.where((F.col("repository_id") != repository_id) | (F.col("revision") != revision)), "chunk identity differs from index repository/revision", "id")
+    alone = issue(owners.where(F.coalesce("count", F.lit(0)) != 1), "chunk listed by no file, or by several", "id")
+    other = issue(chunks.where((F.col("repository_id") != repository_id) | (F.col("revision") != revision)), "chunk of another repository or revision", "id")
     return dup.unionByName(lost).unionByName(alone).unionByName(other)
 
 

@@ -19,7 +19,7 @@ from tidemark.functions import keys as K
 
 _HEADER = re.compile(r"@@ -(\d+)(?:,\d+)? \+(\d+)(?:,\d+)? @@")
 _SIGNS = {"+": ("addition", 0, 1), "-": ("deletion", 1, 0), " ": ("context", 1, 1)}
-NOT_CITABLE = " [PARTIAL LINE; NOT CITABLE]"
+NOT_CITABLE = " [cut line: not to be cited]"
 
 
 @dataclass(frozen=True)
@@ -169,7 +169,7 @@ def bounded(lines: list[str], first: int, max_tokens: int) -> list[tuple[str, in
         while line:
             part = take_bytes(line, max_tokens)
             if not part:
-                out.append(("", no, no, False, "A code point exceeded the configured chunk budget."))
+                out.append(("", no, no, False, "one character is larger than a chunk may be"))
                 break
             out.append((part, no, no, False, None))
             line = line[len(part) :]

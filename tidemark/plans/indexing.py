@@ -6,8 +6,6 @@ slice, and each finished slice is a table under the index's checkpoint folder, w
 from __future__ import annotations
 
 import uuid
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,8 +19,8 @@ POLICY_VERSION = "1"
 FILES = "path string, content_hash string, size long, blob_id string, mtime_ms long, chunk_ids array<string>"
 CHUNKS = segments.CHUNKS + ", repository_id string, revision string, content_hash string, id string, input_hash string"
 VECTORS = "ord long, cache_key string, input_hash string, provider string, model string, version string, dimension_identity string, dimensions int, values array<double>"
-#: Batches of one slice: how much paid work a failure can lose.
-SLICE_BATCHES, BATCH = 8, 32
+#: Texts of a batch and batches of the smallest slice; slices of a run, at most. A failure loses one slice's work.
+SLICE_BATCHES, BATCH, MOST_SLICES = 8, 32, 32
 
 
 def _stored(df: DataFrame, path: str) -> DataFrame:
@@ -46,10 +44,16 @@ def refresh(spark: SparkSession, scanned: DataFrame, root: str, repository_id: s
     """Publish the index of scanned(path, size, mtime_ms, content[, blob_id]) and return the counters of the update."""
     work = work_dir(spark, "refresh")
     meta = {"repository_id": repository_id, "chunker_version": K.CHUNKER_VERSION, "policy_version": POLICY_VERSION, "max_chunk_tokens": max_tokens}
-    old = store.open_index(spark, root, meta)
+    old = store.open_index(spark, root, {k: v for k, v in meta.items() if k != "repository_id"})
+    named = old.meta.get("repository_id")
+    foreign = old.status == "valid" and named != repository_id
+    if foreign and not spark.range(1).select(K.is_source_scoped(F.lit(named))).first()[0]:
+        old = store.Opened("incompatible", "repository_id differs", old.meta)
     usable = old.status == "valid"
     empty = lambda schema: spark.createDataFrame([], schema)
     files0, chunks0, vectors0 = (old.tables[n] if usable else empty(s) for n, s in (("files", FILES), ("chunks", CHUNKS), ("vectors", VECTORS)))
+    if usable and foreign:  # this checkout's own index, from when indexes were named after their source
+        files0, chunks0 = adopt(files0, chunks0, repository_id, old.meta["revision"])
     blob = F.col("blob_id") if "blob_id" in scanned.columns else F.lit(None).cast("string")
     now = scanned.select("path", "content", K.sha(F.col("content")).alias("content_hash"), "size", blob.alias("blob_id"), reconcile.usable_mtime(F.col("mtime_ms"), F.unix_millis(F.current_timestamp())).alias("mtime_ms"))
     state = _stored(reconcile.reconcile(files0, now.drop("content"), chunks0), f"{work}/state")
@@ -93,15 +97,18 @@ def _vectors(spark: SparkSession, chunks: DataFrame, before: DataFrame, root: st
     n = {r.origin: r["count"] for r in origin.groupBy("origin").count().collect()}
     body = chunks.select("input_hash", K.embedding_input(F.col("path"), F.col("signature"), F.col("content")).alias("text")).dropDuplicates(["input_hash"])
     pending = origin.where("origin = 'embed'").join(body, "input_hash").withColumn("ord", F.xxhash64("input_hash").bitwiseAND(F.lit((1 << 40) - 1)))
-    pending = _stored(reconcile.batches(pending, BATCH * SLICE_BATCHES), f"{work}/pending")
+    size = max(BATCH * SLICE_BATCHES, -(-n.get("embed", 0) // MOST_SLICES))
+    pending = _stored(reconcile.batches(pending, size), f"{work}/pending")
     made = []
-    for k in range(-(-n.get("embed", 0) // (BATCH * SLICE_BATCHES))):
+    for k in range(-(-n.get("embed", 0) // size)):
         part = pending.where(F.col("batch") == k)
         got = ports.embed(part.select(F.xxhash64("input_hash").alias("key"), "text"), adapter, BATCH, retry)
         got = part.select("input_hash", F.xxhash64("input_hash").alias("key")).join(got, "key")
-        made.append(_stored(_as_vectors(got, adapter, space, max_tokens), f"{root}/embedding-checkpoint/{uuid.uuid4().hex}"))
+        made.append(f"{root}/embedding-checkpoint/{uuid.uuid4().hex}")
+        _as_vectors(got, adapter, space, max_tokens).write.parquet(made[-1])
     take = saved.join(origin.where("origin = 'checkpoint'").select("input_hash"), "input_hash", "left_semi")
-    every = reduce(DataFrame.unionByName, [kept.select(*_cols(VECTORS)), take.select(*_cols(VECTORS)), *made])
+    every = kept.select(*_cols(VECTORS)).unionByName(take.select(*_cols(VECTORS)))
+    every = every.unionByName(spark.read.schema(VECTORS).parquet(*made)) if made else every  # one scan of all slices
     out = _stored(reconcile.first_vectors(every), f"{work}/vectors")
     return out, {"vectors_reused": n.get("previous", 0), "vectors_from_checkpoint": n.get("checkpoint", 0), "vectors_created": n.get("embed", 0), "vectors_pruned": before.count() - kept.count()}
 

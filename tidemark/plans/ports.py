@@ -137,7 +137,7 @@ class RuleModel:
 
     def review(self, system: str, user: str, max_output_tokens: int) -> dict:
         added = re.findall(r'"kind":"addition"[^}]*"newLine":(\d+)[^}]*"complete":true', user)
-        name = json.loads(re.search(r"UNTRUSTED REVIEW METADATA\n([^\n]+)", user)[1])["filename"]
+        name = json.loads(re.search(r"\[about this change[^\n]*\n([^\n]+)", user)[1])["filename"]
         at = int(added[-1]) if added else 1
         ev = [{"path": name, "startLine": at, "endLine": at, "contextId": None}]
         found = [{"severity": "high", "category": "correctness", "confidence": "high", "title": label, "explanation": "A rule fits.", "evidence": ev, "suggestion": None} for label, p in self.rules if re.search(p, user)]

@@ -85,7 +85,7 @@ def embed_batches(spark, d):
     return reconcile.batches(table(spark, d, "documents").select("doc_id"), 32, "doc_id").select("doc_id", "batch")
 
 
-@query("referential_checks", f"WITH {_KNOWN} SELECT 'file references a chunk that is missing or has another path' AS issue, doc_id::VARCHAR AS subject FROM k WHERE toxic = 1 UNION ALL SELECT 'duplicate file path', doc_id::VARCHAR FROM k WHERE quality = 0 UNION ALL SELECT 'file references a chunk that is missing or has another path', doc_id::VARCHAR FROM k WHERE quality = 0 AND toxic = 1 UNION ALL SELECT 'chunks and file entries disagree', 'c' || doc_id::VARCHAR FROM k WHERE quality = 0 AND toxic <> 1 UNION ALL SELECT 'chunk identity differs from index repository/revision', 'c' || doc_id::VARCHAR FROM k WHERE page AND coalesce(toxic, 0) <> 1")
+@query("referential_checks", f"WITH {_KNOWN} SELECT 'chunk listed but not there, or under another path' AS issue, doc_id::VARCHAR AS subject FROM k WHERE toxic = 1 UNION ALL SELECT 'path listed twice', doc_id::VARCHAR FROM k WHERE quality = 0 UNION ALL SELECT 'chunk listed but not there, or under another path', doc_id::VARCHAR FROM k WHERE quality = 0 AND toxic = 1 UNION ALL SELECT 'chunk listed by no file, or by several', 'c' || doc_id::VARCHAR FROM k WHERE quality = 0 AND toxic <> 1 UNION ALL SELECT 'chunk of another repository or revision', 'c' || doc_id::VARCHAR FROM k WHERE page AND coalesce(toxic, 0) <> 1")
 def referential_checks(spark, d):
     """Chunks of toxic documents are missing, files of low quality are listed twice, chunks of pages are of an old revision."""
     t = _known(spark, d)
@@ -119,3 +119,9 @@ def index_publish(spark, d):
     opened = store.open_index(spark, root)
     assert opened.status == "valid", opened.reason
     return opened.tables["chunks"]
+
+
+@query("source_scoped_ids", r"SELECT page_id, regexp_matches(regexp_extract(url, '://(.*)', 1), '\A[a-z0-9_.-]+/[a-z0-9_.-]+\z') AS source_scoped FROM pages")
+def source_scoped_ids(spark, d):
+    """Of a page's address without its scheme: whether it has the shape of a hosted repository's id."""
+    return table(spark, d, "pages").select("page_id", K.is_source_scoped(F.regexp_extract("url", "://(.*)", 1)).alias("source_scoped"))

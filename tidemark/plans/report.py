@@ -47,7 +47,7 @@ def text_report(result: dict) -> str:
     c = result["coverage"]
     out = [f"SUMMARY\n{result['summary']}", f"Status: {result['status']}", "Coverage: " + ", ".join(f"{k}={c[k]}" for k in ("discovered", "eligible", "attempted", "reviewed", "failed", "skipped", "omitted", "truncated")), "\nFINDINGS"]
     if not result["findings"]:
-        out.append("None (this is a clean result only when status=complete and reviewed>0).")
+        out.append("none; that speaks for the code only if the status is complete and files were reviewed")
     for i, f in enumerate(result["findings"], 1):
         first = f["evidence"][0]["start_line"] if f["evidence"] else "?"
         out += [f"{i}. [{f['severity'].upper()}] {f['filename']}:{first} {f['title']} ({f['category']}, confidence={f['confidence']}, id={f['id']})", f"   {f['explanation']}"]

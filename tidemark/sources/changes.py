@@ -159,6 +159,9 @@ def local_source(spark: SparkSession, root: str, base: str | None = None) -> tup
     added = spark.createDataFrame(new, "ord long, path string, length long, content binary")
     added = untracked(added.drop("ord")).join(added.select("ord", F.col("path").alias("filename")), "filename").select(*[c.split()[0] for c in FILES.split(", ")])
     files = tracked.unionByName(added)
-    names = json.dumps([[r.filename, r.status, hashlib.sha256(r.patch.encode()).hexdigest() if r.patch else None] for r in files.orderBy("ord").select("filename", "status", "patch").collect()], separators=(",", ":"))
+    # a digest of every row's, in an order of their own: no patch leaves its task
+    row = F.sha2(F.to_json(F.struct("filename", "status", F.sha2("patch", 256).alias("patch"))), 256)
+    bits = [F.bit_xor(F.conv(F.substring(row, 1 + 15 * k, 15), 16, 10).cast("long")) for k in range(4)]
+    names = json.dumps([files.count(), *files.agg(*bits).first()])
     snapshot = {"mode": "local", "title": "Local changes", "description": "", "repository_id": hashlib.sha256(os.path.realpath(root).lower().encode()).hexdigest(), "base_revision": start, "head_revision": head, "snapshot_id": hashlib.sha256((head + names).encode()).hexdigest(), "coverage_complete": True, "root": root}
     return snapshot, files

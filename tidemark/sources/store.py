@@ -82,17 +82,26 @@ class Opened:
 
 
 class Lock:
-    """One publisher at a time; a lock older than LOCK_SECONDS * 6 is taken from its dead owner."""
+    """One publisher at a time; a lock older than LOCK_SECONDS * 6 is taken from its dead owner. Of several that wait for
+    a dead owner's lock, the one that creates the claim on that very lock removes it."""
 
     def __init__(self, files: Files) -> None:
-        self.files = files
+        self.files, self.name = files, uuid.uuid4().hex
+
+    def _owner(self) -> dict:
+        try:
+            return json.loads(self.files.read("publish.lock") or "{}")
+        except ValueError:  # being written
+            return {}
 
     def __enter__(self) -> Lock:
         until = time.time() + LOCK_SECONDS
-        while not self.files.create("publish.lock", json.dumps({"at": time.time()})):
-            old = json.loads(self.files.read("publish.lock") or "{}").get("at", 0)
-            if time.time() - old > LOCK_SECONDS * 6:
-                self.files.delete("publish.lock")
+        while not self.files.create("publish.lock", json.dumps({"at": time.time(), "owner": self.name})):
+            old = self._owner()
+            dead = "at" in old and time.time() - old["at"] > LOCK_SECONDS * 6
+            if dead and self.files.create(f"claim-{old.get('owner', 'none')}.tmp", self.name):
+                if self._owner() == old:
+                    self.files.delete("publish.lock")
             elif time.time() > until:
                 raise TimeoutError("another publication holds the index")
             else:
@@ -100,7 +109,16 @@ class Lock:
         return self
 
     def __exit__(self, *_) -> None:
-        self.files.delete("publish.lock")
+        if self._owner().get("owner") == self.name:
+            self.files.delete("publish.lock")
+
+
+def table_digest(df: DataFrame) -> list:
+    """[rows, digest] of a table, whatever the order of its rows: sums and exclusive ors of two hashes of each row."""
+    cols = sorted(df.columns)
+    one, two = F.xxhash64(*cols), F.xxhash64(F.lit(1), *cols)
+    got = df.agg(F.count("*"), F.coalesce(F.sum(one.cast("decimal(38,0)")), F.lit(0)).cast("string"), F.coalesce(F.bit_xor(two), F.lit(0))).first()
+    return [got[0], hashlib.sha256(f"{cols} {got[1]} {got[2]}".encode()).hexdigest()]
 
 
 def publish(spark: SparkSession, root: str, tables: dict[str, DataFrame], meta: dict) -> str:
@@ -110,8 +128,8 @@ def publish(spark: SparkSession, root: str, tables: dict[str, DataFrame], meta:
     rows = {}
     for name, df in tables.items():
         df.write.parquet(f"{root}/{gen}/{name}")
-        rows[name] = spark.read.parquet(f"{root}/{gen}/{name}").count()
-    body = {"schema_version": SCHEMA_VERSION, "generation": gen, "rows": rows, "meta": meta}
+        rows[name] = table_digest(spark.read.parquet(f"{root}/{gen}/{name}"))
+    body = {"schema_version": SCHEMA_VERSION, "generation": gen, "tables": rows, "meta": meta}
     body["digest"] = hashlib.sha256(json.dumps(body, sort_keys=True).encode()).hexdigest()
     with Lock(files):
         files.replace(MANIFEST, json.dumps(body))
@@ -139,12 +157,12 @@ def open_index(spark: SparkSession, root: str, required: dict | None = None) ->
             if body["meta"].get(k) != v:
                 return Opened("stale" if k == "revision" else "incompatible", f"{k} differs", body["meta"])
         try:
-            tables = {n: spark.read.parquet(f"{root}/{body['generation']}/{n}") for n in body["rows"]}
-            bad = [n for n, df in tables.items() if df.count() != body["rows"][n]]
+            tables = {n: spark.read.parquet(f"{root}/{body['generation']}/{n}") for n in body["tables"]}
+            bad = [n for n, df in tables.items() if table_digest(df) != body["tables"][n]]
         except Exception as e:  # noqa: BLE001  a generation may go while it is read
             last = Opened("corrupt", f"a table cannot be read: {type(e).__name__}")
             continue
-        return Opened("corrupt", f"row counts differ: {bad}") if bad else Opened("valid", None, body["meta"], tables)
+        return Opened("corrupt", f"rows or digests differ: {bad}") if bad else Opened("valid", None, body["meta"], tables)
     return last
 
 
