@@ -198,6 +198,25 @@ def test_lines(docs, batches, fanout):
     assert linededup.dedup_lines(docs.limit(0)).count() == 0
 
 
+def test_runs_are_read_as_they_lie(spark, docs, monkeypatch):
+    """A batch is exchanged and sorted once; no run is, however many there are. A run is one sorted file per bucket."""
+    plans, orig = [], C.bucketed
+
+    def spied(df, *args):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return orig(df, *args)
+
+    monkeypatch.setattr(C, "bucketed", spied)
+    rows = spark.createDataFrame([(i, f"line number {i % 7}\nanother line {i}\nshared by all of them") for i in range(90)], "doc_id long, text string")
+    out = {r.doc_id: r.kept_text for r in linededup.dedup_lines(rows, n_batches=5, fanout=4).collect()}
+    assert out == {i: "\n".join([f"line number {i}"] * (i < 7) + [f"another line {i}"] + ["shared by all of them"] * (i == 0)) for i in range(90)}
+    joins = [p for p in plans if "SortMergeJoin" in p]
+    assert [p.count("SortMergeJoin [") for p in joins] == [1, 2, 3, 1]  # four runs of a level become one
+    for p in joins:
+        assert p.count("Exchange") == 1 and p.count("Sort [") == 1 and "Bucketed: true" in p
+    assert len(linededup.batch_bounds(rows, 2, 10)) == 8
+
+
 def test_classifier(docs, labels, spark):
     named = quality.quality_labels(labels)
     assert quality.classify(docs, named).count() == len(TEXTS)

@@ -77,6 +77,9 @@ def workspace(spark: SparkSession, what: str) -> str:
 def clean(spark: SparkSession) -> None:
     """Remove every work table of this driver; results that still read them end with that."""
     jvm = spark.sparkContext._jvm
+    while _tables:
+        _, name = _tables.pop()
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
     while _made:
         _, path = _made.pop()
         p = jvm.org.apache.hadoop.fs.Path(path)
@@ -92,13 +95,46 @@ def _at_exit() -> None:
         pass
 
 
-def materialize(df: DataFrame, path: str) -> DataFrame:
-    """Write df as a Parquet table and read it again: cuts the lineage with a table that any
-    executor can read after others are lost."""
-    df.write.mode("overwrite").parquet(path)
+def materialize(df: DataFrame, path: str, by: str | None = None) -> DataFrame:
+    """Write df as a Parquet table, with a folder for each value of `by`, and read it again: cuts the lineage with a
+    table that any executor can read after others are lost."""
+    w = df.write.mode("overwrite")
+    (w.partitionBy(by) if by else w).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_tables: list[tuple[SparkSession, str]] = []
+
+
+def shuffle_partitions(spark: SparkSession) -> int:
+    """How many partitions the planner gives a shuffle."""
+    return spark._jsparkSession.sessionState().conf().numShufflePartitions()
+
+
+def bucketed(df: DataFrame, buckets: int, keys: list[str], path: str, dealt: bool = False) -> DataFrame:
+    """df written and read again as a table at `path`, bucketed by keys and sorted by them, one file per bucket. dealt:
+    df is hash-partitioned by keys into that many partitions already. The catalogue knows the table until
+    clean(spark); its files are the work folder's."""
+    spark = df.sparkSession
+    name = f"tidemark_{uuid.uuid4().hex}"
+    df = df if dealt else df.repartition(buckets, *keys)
+    df.write.format("parquet").bucketBy(buckets, *keys).sortBy(*keys).option("path", path).saveAsTable(name)
+    _tables.append((spark, name))
+    return spark.table(name)
+
+
+@contextlib.contextmanager
+def sorted_buckets(spark: SparkSession) -> Iterator[None]:
+    """For plans made and run inside: a bucket of one file is read as sorted as it was written."""
+    name = "spark.sql.legacy.bucketedTableScan.outputOrdering"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def opaque(c: Column) -> Column:
     """The same long, but of a partitioning unknown to the planner, so that a join on it is
     planned from two plain exchanges, which adaptive execution can split when one key is hot."""
@@ -236,4 +272,4 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-__all__ = ["WS", "WS_CLASS", "UPPER", "LOWER", "LAST_ID", "Forest", "clean", "connected_components", "crc_mod", "group_starts", "lower_ascii", "materialize", "opaque", "read", "release", "shared_dir", "ship", "slices", "tiled", "whole_groups", "worker_cache", "workspace"]
+__all__ = ["WS", "WS_CLASS", "UPPER", "LOWER", "LAST_ID", "Forest", "bucketed", "clean", "connected_components", "crc_mod", "group_starts", "lower_ascii", "materialize", "opaque", "read", "release", "shared_dir", "ship", "shuffle_partitions", "slices", "sorted_buckets", "tiled", "whole_groups", "worker_cache", "workspace"]

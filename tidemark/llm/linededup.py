@@ -1,19 +1,24 @@
 """Line dedup over levelled sorted runs of line hashes, in DataFrame operations only.
 
-A batch of documents is reduced to its distinct line keys with their smallest doc_id, anti-joined
-(sort-merge) with the runs of all earlier batches, and what is new is added as a level-0 run sorted
-by hash. When a level holds `fanout` runs they are compacted into one run of the next level, so
-a batch meets at most fanout - 1 runs per level. Batches are taken in doc_id order, so a run's owner
-of a key is the smallest doc_id that holds it: a key's lines in any other document are dropped.
+A batch of documents is reduced to its distinct line keys with their smallest doc_id and merged against the
+runs of all earlier batches; what is new is added as a level-0 run. Runs are tables bucketed and sorted by
+hash, a file per bucket, so a merge join reads them as they are: the batch alone is exchanged and sorted,
+once, however many runs there are. One pass of left joins gives both what a run holds already and what none
+does, and is written once: the batch's run is the rows of it that no earlier run holds. When a level holds
+`fanout` runs they are compacted into one run of the next level, so a batch meets at most fanout - 1
+runs per level. Batches are taken in doc_id order, so a run's owner
+of a key is the smallest doc_id that holds it: a key's lines in any other document are dropped. There are
+N_BATCHES of them, and more where a batch would have over BATCH_ROWS documents.
 
 Only keys found in a second document (noted when a batch hits a run, or itself) meet the lines
 again. The keys' hash is two 64-bit words; the texts are split into lines once, and of a line only its
-hash and place are written. Joins are plain
+hash and place are written, in a folder per batch. Joins with lines are plain
 equi-joins between two exchanges, which adaptive execution splits when one line is very frequent.
 
 Defined results. Null text: one empty line. Null doc_id: one document, after every id; its rows stay.
 Rows that repeat a doc_id count as one document and each is cleaned. A line repeated within its
-owner stays repeated. Empty table: empty result. Other columns pass through `dedup_lines` unchanged.
+owner stays repeated. Very long texts are split whole. Ties: a key's owner is its smallest doc_id. Empty
+table: empty result. Other columns pass through `dedup_lines` unchanged.
 """
 
 from __future__ import annotations
@@ -22,44 +27,40 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tidemark.llm import common as C
 
 MIN_CODE_POINTS = 10
-N_BATCHES, FANOUT = 4, 3
+N_BATCHES, BATCH_ROWS, FANOUT = 6, 1 << 28, 3
 KEY = ["h1", "h2"]
-RUN = T.StructType([T.StructField("h1", T.LongType()), T.StructField("h2", T.LongType()), T.StructField("owner", T.LongType())])
 
 
 class Runs:
-    """Levelled runs of (h1, h2, owner), each a Parquet table sorted by hash within its files."""
+    """Levelled runs of (h1, h2, owner), each a table bucketed by hash and sorted in its buckets."""
 
     def __init__(self, spark: SparkSession, path: str, fanout: int) -> None:
         self.spark, self.path, self.fanout = spark, path, fanout
+        # as many buckets as a shuffle has partitions: then a join deals the batch out as the runs are
+        self.buckets = C.shuffle_partitions(spark)
         self.levels: list[list[DataFrame]] = []
         self.written = 0
 
-    def _write(self, df: DataFrame) -> DataFrame:
+    def _write(self, df: DataFrame, dealt: bool = False) -> DataFrame:
+        """df as a table of one sorted file per bucket."""
         self.written += 1
-        return C.materialize(df.sortWithinPartitions(*KEY), f"{self.path}/run-{self.written}")
-
-    def all(self) -> DataFrame:
-        runs = [r for level in self.levels for r in level]
-        return reduce(DataFrame.unionByName, runs) if runs else self.spark.createDataFrame([], RUN)
+        return C.bucketed(df, self.buckets, KEY, f"{self.path}/run-{self.written}", dealt)
 
     def absorb(self, keys: DataFrame) -> DataFrame:
         """Add the keys (h1, h2, owner, shared) that no run holds; the keys that are held already, or
         shared within the batch, with their owner."""
-        if not self.levels:
-            fresh = self._write(keys)
-            self.levels.append([fresh.drop("shared")])
-            return fresh.where("shared").drop("shared")
-        before = self.all()
-        fresh = self._write(keys.join(before, KEY, "left_anti"))
-        hit = before.join(keys.select(*KEY), KEY, "left_semi")
-        self._add(0, fresh.drop("shared"))
-        return fresh.where("shared").drop("shared").unionByName(hit)
+        met = keys.withColumn("held", F.lit(None).cast("long"))
+        for run in (r for level in self.levels for r in level):
+            met = met.join(run.withColumnRenamed("owner", "was").hint("merge"), KEY, "left")
+            met = met.select(*KEY, "owner", "shared", F.coalesce("held", "was").alias("held"))
+        with C.sorted_buckets(self.spark):
+            met = self._write(met, dealt=True)
+        self._add(0, met.where("held is null").select(*KEY, "owner"))
+        return met.where("shared or held is not null").select(*KEY, F.coalesce("held", "owner").alias("owner"))
 
     def _add(self, level: int, run: DataFrame) -> None:
         if level == len(self.levels):
@@ -69,7 +70,7 @@ class Runs:
             # runs hold disjoint keys: a merge is a union brought back into hash order
             merged = reduce(DataFrame.unionByName, self.levels[level])
             self.levels[level] = []
-            self._add(level + 1, self._write(merged.repartitionByRange(*KEY)))
+            self._add(level + 1, self._write(merged))
 
 
 def _lines(docs: DataFrame, least: int) -> DataFrame:
@@ -80,25 +81,25 @@ def _lines(docs: DataFrame, least: int) -> DataFrame:
     return key.select("did", "row_hash", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"))
 
 
-def batch_bounds(docs: DataFrame, n: int) -> list[int]:
-    """Up to n - 1 doc_id bounds that cut the table into batches of about equal rows."""
+def batch_bounds(docs: DataFrame, n: int, most_rows: int = BATCH_ROWS) -> list[int]:
+    """Doc_id bounds that cut the table into n batches of about equal rows, or more if each is to have at most most_rows."""
+    n = max(n, -(-docs.count() // most_rows))
     got = docs.select(F.percentile_approx("doc_id", [k / n for k in range(1, n)], 10_000)).first()[0] if n > 1 else None
     return sorted(set(got or []))
 
 
-def dedup_lines(docs: DataFrame, min_code_points: int = MIN_CODE_POINTS, n_batches: int = N_BATCHES, fanout: int = FANOUT) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_code_points: int = MIN_CODE_POINTS, n_batches: int = N_BATCHES, fanout: int = FANOUT, batch_rows: int = BATCH_ROWS) -> DataFrame:
     """docs with columns kept_text, n_lines, n_dropped added (names of docs' own that clash are replaced)."""
     spark = docs.sparkSession
     path = C.workspace(spark, "linededup")
     slim = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(C.LAST_ID)).alias("did"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("body"))
     hashed = slim.withColumn("row_hash", F.xxhash64("body"))
-    bounds = batch_bounds(docs.select(F.col("doc_id").cast("long").alias("doc_id")), n_batches)
+    bounds = batch_bounds(docs.select(F.col("doc_id").cast("long").alias("doc_id")), n_batches, batch_rows)
     runs, shared = Runs(spark, path, fanout), []
-    lines = C.materialize(_lines(hashed, min_code_points), f"{path}/lines")
-    for low, high in zip([None, *bounds], [*bounds, None], strict=True):
-        part = lines
-        part = part if low is None else part.where(F.col("did") >= low)
-        part = part if high is None else part.where(F.col("did") < high)
+    lines = _lines(hashed, min_code_points).withColumn("batch", F.size(F.filter(F.lit(bounds).cast("array<bigint>"), lambda x: x <= F.col("did"))))
+    lines = C.materialize(lines, f"{path}/lines", "batch")
+    for k in range(len(bounds) + 1):
+        part = lines.where(F.col("batch") == k)
         keys = part.groupBy(*KEY).agg(F.min("did").alias("owner"), (F.min("did") != F.max("did")).alias("shared"))
         shared.append(runs.absorb(keys))
     known = C.materialize(reduce(DataFrame.unionByName, shared).groupBy(*KEY).agg(F.min("owner").alias("owner")), f"{path}/shared")
