@@ -462,6 +462,33 @@ def test_urls(spark):
     assert {r.verdict for r in urlrep.judge_urls(pages.where("page_id > 5"), bad.limit(0)).collect()} == {"allow"}
 
 
+def test_domains(spark):
+    """Addresses, ports, users, closing dots and suffixes of several labels."""
+    want = {"a.b.co.uk": ("co.uk", "b.co.uk"), "co.uk": ("uk", "co.uk"), "x.com:8080": ("com", "x.com"), "me:pw@y.x.com:": ("com", "x.com"), "x.com.": ("com", "x.com"), "192.168.7.9": ("192.168.7.9",) * 2, "10.0.7.9:81": ("10.0.7.9",) * 2, "[::1]:80": ("[::1]",) * 2, "x.github.io": ("github.io", "x.github.io"), "github.io": ("io", "github.io"), "q.s3.de.aws.net": ("s3.de.aws.net", "q.s3.de.aws.net"), "localhost": ("localhost", "localhost"), "": ("", "")}
+    hosts = spark.createDataFrame([(h,) for h in want], "host string")
+    table = spark.createDataFrame([(x,) for x in [*urlrep.SUFFIXES, "S3.de.aws.net", "aws.net", None, "co.uk"]], "suffix string")
+    got = {r.host: (r.suffix, r.domain) for r in urlrep.with_domains(hosts, table).collect()}
+    assert got == want
+
+
+def test_reputation_decides(spark):
+    """Pages whose hosts, domains or suffixes turned out badly are blocked without any rule, and clean ones are left alone;
+    the posterior against the formula taken anew."""
+    rng = random.Random(1)
+    rate = {"bad.example": 0.97, "fine.example": 0.02, "x.worse.test": 0.98, "y.worse.test": 0.97, "good.shop": 0.0}
+    rows = [(i, h, rng.random() < rate[h]) for i, h in enumerate(rng.choice(list(rate)) for _ in range(1500))]
+    pages = [(i, f"http://{h}/p{i}") for i, h, _ in rows] + [(9000, "http://new.worse.test/"), (9001, "http://new.shop/")]
+    df = spark.createDataFrame(pages, "page_id long, url string")
+    got = {r.page_id: r for r in urlrep.judge_urls(df, spark.createDataFrame([(i, int(b)) for i, _, b in rows], "page_id long, bad int"), rules=()).collect()}
+    host = {i: h for i, h, _ in rows}
+    assert all(got[i].verdict == ("block" if rate[h] > 0.5 else "allow") for i, h in host.items())
+    assert got[9000].bad_rate > 0.5 > got[9001].bad_rate and got[9000].verdict in ("block", "allow")
+    for h in rate:
+        r = next(got[i] for i in host if host[i] == h)
+        n, bad = sum(x == h for x in host.values()), sum(b for _, x, b in rows if x == h)
+        assert abs(r.bad_rate - bad / n) < 0.05 and r.bad_rate_low < r.bad_rate
+
+
 def test_packing_solver():
     rng = random.Random(5)
     for _ in range(150):
