@@ -1,14 +1,15 @@
 """Quality rules: a threshold table compiled into Spark projections, without user functions.
 
 `measured` adds the counts as columns; THRESHOLDS names ratios of them with the least and greatest
-value a document may have; `apply_rules` compiles the table into one boolean and the list of the
+value a document may have, some of them only for documents they can be read of (stop words are of languages in Latin
+script, so the rule on them is for texts whose word characters are mostly Latin letters); `apply_rules` compiles the table into one boolean and the list of the
 rules that failed. Everything is a row-wise projection over the whole text: no shuffle at all.
 
 Words that repeat: the hashes of the 3-word windows are sorted with their positions, a window equal
 to a neighbour in that order is a repeat, and positions in ascending order give the words covered.
 O(n log n) in the words of one text. The 64-bit hash stands for the window.
 
-Defined results. Null or empty text: no words, so the base check fails and the row is not kept.
+Defined results. Very long texts are measured whole. Null or empty text: no words, so the base check fails and the row is not kept.
 Null ids, repeated rows and ties: judged each by its own text. Empty table: empty result. Other
 columns pass through; those named like a measure are replaced.
 """
@@ -41,17 +42,19 @@ class Threshold:
     denominator: str
     low: float | None = None
     high: float | None = None
+    #: (numerator, denominator, least ratio): where it is less, the document passes.
+    only_if: tuple[str, str, float] | None = None
 
 
 THRESHOLDS = (
     Threshold("mean_word_length", "word_chars", "n_words", 2.0, 20.0),
     Threshold("symbols_per_word", "n_symbols", "n_words", None, 0.2),
     Threshold("exclamations_per_word", "n_exclamations", "n_words", None, 0.3),
-    Threshold("stop_words_per_word", "n_stop_words", "n_words", 0.02, None),
+    Threshold("stop_words_per_word", "n_stop_words", "n_words", 0.02, None, ("n_latin", "word_chars", 0.5)),
     Threshold("duplicate_lines", "n_dup_lines", "n_text_lines", None, 0.5),
 )
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-MEASURES = (*BASE, "n_exclamations", "n_stop_words", "n_text_lines")
+MEASURES = (*BASE, "n_exclamations", "n_stop_words", "n_text_lines", "n_latin")
 
 
 def _count_chars(text: Column, chars: str) -> Column:
@@ -86,6 +89,7 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
         "n_exclamations": _count_chars(F.col("__t"), "!"),
         "n_stop_words": F.size(F.filter(w, lambda x: F.lower(x).isin(*STOP_WORDS))),
         "n_text_lines": F.size("__l"),
+        "n_latin": _count_chars(F.col("__t"), "A-Za-z"),
     }
     # inline() of one row: a filter on a measure stays above it. Pushed below, it would put the arrays'
     # expressions where each element computes them again
@@ -93,8 +97,8 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
     return d.select(*kept, F.inline(F.array(F.struct(*[v.cast("long").alias(k) for k, v in out.items()]))))
 
 
-def _ratio(t: Threshold) -> Column:
-    return F.col(t.numerator) / F.greatest(F.col(t.denominator), F.lit(1))
+def _ratio(numerator: str, denominator: str) -> Column:
+    return F.col(numerator) / F.greatest(F.col(denominator), F.lit(1))
 
 
 def apply_rules(docs: DataFrame, table: tuple[Threshold, ...] = THRESHOLDS, text: str = "text") -> DataFrame:
@@ -103,8 +107,10 @@ def apply_rules(docs: DataFrame, table: tuple[Threshold, ...] = THRESHOLDS, text
     broken = []
     for t in table:
         bad = F.lit(False)
-        bad = bad if t.low is None else bad | (_ratio(t) < t.low)
-        bad = bad if t.high is None else bad | (_ratio(t) > t.high)
+        ratio = _ratio(t.numerator, t.denominator)
+        bad = bad if t.low is None else bad | (ratio < t.low)
+        bad = bad if t.high is None else bad | (ratio > t.high)
+        bad = bad if t.only_if is None else bad & (_ratio(*t.only_if[:2]) >= t.only_if[2])
         broken.append(F.when(bad, F.lit(t.name)))
     d = d.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")))
     d = d.withColumn("failed_rules", F.array_compact(F.array(*broken)) if broken else F.array().cast("array<string>"))
@@ -120,8 +126,10 @@ def _sql(table: tuple[Threshold, ...]) -> str:
     """The same table over the same measures, for DuckDB."""
     tests = []
     for t in table:
-        r = f"{t.numerator}::DOUBLE / greatest({t.denominator}, 1)"
-        tests += [f"{r} >= {t.low}"] * (t.low is not None) + [f"{r} <= {t.high}"] * (t.high is not None)
+        ratio = lambda a, b: f"{a}::DOUBLE / greatest({b}, 1)"
+        r = ratio(t.numerator, t.denominator)
+        own = [f"{r} >= {t.low}"] * (t.low is not None) + [f"{r} <= {t.high}"] * (t.high is not None)
+        tests += own if t.only_if is None else [f"({ratio(*t.only_if[:2])} < {t.only_if[2]} OR ({' AND '.join(own)}))"]
     stops = ", ".join(f"'{w}'" for w in sorted(set(STOP_WORDS)))
     return rf"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
@@ -132,7 +140,8 @@ rep AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest([i, i + 1, i + 2
 m AS (SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
   (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines,
   coalesce(rep.n, 0)::BIGINT AS n_repeat_words, length(t) - length(replace(t, '!', '')) AS n_exclamations,
-  len(list_filter(w, lambda x: lower(x) IN ({stops}))) AS n_stop_words, len(l) AS n_text_lines FROM w LEFT JOIN rep USING (r)),
+  len(list_filter(w, lambda x: lower(x) IN ({stops}))) AS n_stop_words, len(l) AS n_text_lines,
+  length(t) - length(regexp_replace(t, '[A-Za-z]', '', 'g')) AS n_latin FROM w LEFT JOIN rep USING (r)),
 b AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND {" AND ".join(tests) or "true"} AS kept FROM b
 """
