@@ -242,6 +242,30 @@ def test_rules(docs):
     assert rules.apply_rules(docs).where("kept").count() == sum(r.kept for r in rules.apply_rules(docs).collect())
 
 
+def test_classifier_sample(spark, monkeypatch):
+    """The sample is that of one sort over all ids; a text that has too many features is left out, not cut."""
+    ids = spark.createDataFrame([(i, i % 2) for i in range(3000)], "doc_id long, label int")
+    u = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40))
+    want = [tuple(r) for r in ids.orderBy(u, "doc_id").limit(50).collect()]
+    assert [tuple(r) for r in quality._drawn(ids, 50).collect()] == want
+    seen = []
+    monkeypatch.setattr(quality, "train", lambda rows, labels: seen.append((len(rows), sum(len(r[0]) for r in rows))))
+    docs = spark.createDataFrame([(i, "some words of a text" if i else LONG) for i in range(40)], "doc_id long, text string")
+    labels = ids.where("doc_id < 40")
+    quality.fit(docs, labels)
+    quality.fit(docs, labels, max_features=3000)
+    in_folds = sum(zlib.crc32(str(i).encode()) % 5 != 0 for i in range(40))
+    assert seen[0][0] == in_folds and seen[1] == (in_folds - 1, seen[1][1]) and seen[1][1] <= 3000
+
+
+def test_rules_of_other_scripts(spark):
+    """A text in another script needs none of the stop words; one in Latin letters does."""
+    russian = " ".join(f"слово{i} и ещё{i} в тексте{i}" for i in range(30))
+    latin = " ".join(f"vocable{i} quux{i} blarg{i}" for i in range(30))
+    df = spark.createDataFrame([(0, russian), (1, latin)], "doc_id long, text string")
+    assert {r.doc_id: r.failed_rules for r in rules.apply_rules(df).collect()} == {0: [], 1: ["stop_words_per_word"]}
+
+
 def test_lm(docs, spark):
     got = lm.score_documents(docs, F.lit(True)).collect()
     assert len(got) == len(TEXTS)
