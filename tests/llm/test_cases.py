@@ -87,8 +87,8 @@ def test_embeddings(spark):
         comp[i] = min(seen)
     for i in links:
         assert got[i] == ((len(links[i]), comp[i], comp[i] == i) if i is not None else (0, None, False)), i
-    for rows in (1, 3):  # small tiles, and a grid over more coordinates
-        assert {r.vec_id: tuple(r)[1:] for r in embdedup.near_duplicates(df, tile_rows=rows).collect()} == got
+    for rows, grid in ((2, 0), (3, 1), (3, None), (1, 4)):  # small tiles, and grids over more coordinates
+        assert {r.vec_id: tuple(r)[1:] for r in embdedup.near_duplicates(df, tile_rows=rows, grid=grid).collect()} == got, grid
     assert embdedup.near_duplicates(df.limit(0)).count() == 0
 
 
@@ -110,7 +110,18 @@ def test_cells_bring_neighbours_together(grid, cosine):
             if a < b:
                 (h,), (k,) = homes[block, a], homes[block, b]
                 assert (h == k) + (h in guests.get((block, b), [])) + (k in guests.get((block, a), [])) == 1
-    assert 1 <= embdedup.grid_dims(16, cosine, 10**9) <= 8 and embdedup.grid_dims(64, 0.93, 5000) == 2
+    assert 1 <= embdedup.finest_grid(16, cosine) <= 8
+
+
+def test_best_grid():
+    """The more vectors share a label the finer the grid; it follows the vectors' spread, and tiny labels have none."""
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((4000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    got = [embdedup.best_grid(x, [(10.0**k, 1)], 0.93) for k in range(2, 10)]
+    assert got[:3] == [0, 0, 0] and got == sorted(got) and got[-1] > 2
+    assert embdedup.best_grid(x[:0], [], 0.93) == 0
+    assert embdedup.best_grid(x, [(100.0, 10**6)], 0.93) == 0
 
 
 def test_warc(spark):

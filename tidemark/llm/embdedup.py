@@ -3,15 +3,22 @@
 Unit vectors with cosine >= t are within squared distance 2 - 2t. A seeded rotation spreads that
 distance over the coordinates, which are split into blocks of BLOCK_DIM; in one block at least, two
 such vectors are within the block's share of the budget, (2 - 2t) * dims / D. So each block is a range
-join: vectors are put into grid cells (of two radii) of the block's first coordinates, two or more by the
-number of vectors, and into the later neighbour cells that their ball reaches. Within a cell candidates are the pairs whose block
+join: vectors are put into grid cells (of two radii) of the block's first `grid` coordinates
+and into the later neighbour cells that their ball reaches. Within a cell candidates are the pairs whose block
 distance is within the budget, a product of low-dimensional matrices. A pair is verified, by the exact
 cosine of the vectors as given, in the first block that finds it, so the union counts it once.
 
+A finer grid compares fewer pairs and sends a vector to more cells; without any, a label is one cell for
+all its blocks and a vector is sent there once. `best_grid` takes the cheapest by one rule at every size, from the
+number of vectors per label and the copies and collisions that each grid has on a bounded sample
+(GRID_SAMPLE vectors); it decides only where pairs meet, never which.
+
 Links are counted where they are found, and each unit gives a spanning forest, so nothing is as large
 as the pairs of a group. Equal vectors of a label are one class before the join. Cells of many vectors
 are dealt tile by tile.
 
+Very long vectors: a block more for every BLOCK_DIM dimensions. Ties at the threshold: a cosine equal to it links.
+
 Defined results. A null label, and a vector that is null, empty, zero or holds null or non-finite
 components: no links, own component. Vectors of different lengths never link. Null vec_id: no links, null
 component, not kept. Rows that repeat a vec_id count as vectors of their own and share its component.
@@ -32,8 +39,12 @@ from tidemark.llm import common as C
 
 COSINE, BLOCK_DIM, SEED = 0.93, 8, 20240229
 #: Vectors of a cell in one tile, rows of a distance matrix, and candidates verified at once.
-TILE_ROWS, STRIP, VERIFY = 4096, 256, 1 << 16
+TILE_ROWS, STRIP, VERIFY = 16384, 256, 1 << 14
 SLACK = 1e-9
+#: Vectors that the grid is chosen on, and compared pairs that cost as much as sending a vector once.
+GRID_SAMPLE, SEND_COST = 20_000, 1000
+#: The block of a cell that stands for all blocks.
+EVERY = -1
 KEYS = ["label", "dim", "block", "cell"]
 
 _rotations: dict[int, np.ndarray] = {}
@@ -63,18 +74,42 @@ def rotated(x: np.ndarray) -> np.ndarray:
     return np.einsum("ij,kj->ik", unit, rotation(x.shape[1]))
 
 
-def grid_dims(dim: int, cosine: float, rows: int, tile_rows: int = TILE_ROWS) -> int:
-    """Coordinates of a block that the grid cuts: two, and more the more vectors share a label, as far as a cell's
-    coordinates fit into a long. Unit vectors spread over about three cells a coordinate."""
+def finest_grid(dim: int, cosine: float) -> int:
+    """Coordinates of a block whose cells' numbers fit into a long together."""
     bits = int(np.ceil(np.log2(2 / (2 * np.sqrt(budgets(dim, cosine).min())) + 6)))
-    want = int(np.ceil(np.log(max(1, rows / tile_rows)) / np.log(3)))
-    return max(1, min(max(2, want), BLOCK_DIM, dim, 62 // bits))
+    return min(BLOCK_DIM, dim, 62 // bits)
+
+
+def best_grid(sample: np.ndarray, labels: list[tuple[float, int]], cosine: float, tile_rows: int = TILE_ROWS) -> int:
+    """The number of coordinates to cut at which sending and comparing cost least. sample: vectors in the rotated space;
+    labels: (vectors, how many labels have about as many)."""
+    if not len(sample):
+        return 0
+    blocks, best = len(budgets(sample.shape[1], cosine)), (np.inf, 0)
+    for g in range(finest_grid(sample.shape[1], cosine) + 1):
+        copies, share = 1.0, 1.0  # of a vector, and of its label's vectors in its cell
+        if g:
+            homes, guests = np.zeros(blocks), 0
+            for k, rows, cells, guest in _cells(sample, cosine, g):
+                if guest:
+                    guests += len(rows)
+                else:
+                    homes[k] = (np.unique(cells, return_counts=True)[1].astype(float) ** 2).sum() / len(sample) ** 2
+            copies, share = blocks + guests / len(sample), homes.mean()
+        # a vector goes to each pair of its cell's tiles, and meets half the vectors at home there and the guests
+        reach = 0.5 if g == 0 else copies / blocks - 0.5
+        cost = sum(m * n * (SEND_COST * copies * max(1.0, n * share / tile_rows) + blocks * reach * n * share) for n, m in labels)
+        best = min(best, (cost, g))
+    return best[1]
 
 
 def _cells(x: np.ndarray, cosine: float, grid: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, bool]]:
-    """(block, rows, cells, guest) of unit vectors in the rotated space: each at home in its cell, and a guest in every later
+    """(block, rows, cells, guest) of unit vectors in the rotated space; without a grid all are in one cell of EVERY block. Each at home in its cell, and a guest in every later
     cell (the first coordinate that differs is greater) within the block's radius. Offsets are grown a coordinate at a
     time and end where the distance to the cell is over the radius."""
+    if grid == 0:
+        yield EVERY, np.arange(len(x)), np.zeros(len(x), np.int64), False
+        return
     bounds, most = blocks_of(x.shape[1]), budgets(x.shape[1], cosine)
     for k, (lo, hi) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
         g = min(grid, hi - lo)
@@ -100,7 +135,7 @@ def _matrix(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return column.values.to_numpy(zero_copy_only=False), off
 
 
-def _spread(cosine: float, rows: int, tile_rows: int):
+def _spread(cosine: float, grid: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             flat, off = _matrix(b.column("embedding"))
@@ -109,7 +144,7 @@ def _spread(cosine: float, rows: int, tile_rows: int):
                 at = np.flatnonzero(dims == d)
                 x = flat[off[at][:, None] + np.arange(d)].astype(np.float64)
                 rot = rotated(x / np.abs(x).max(axis=1, keepdims=True))
-                for block, at_rows, cell, guest in _cells(rot, cosine, grid_dims(int(d), cosine, rows, tile_rows)):
+                for block, at_rows, cell, guest in _cells(rot, cosine, min(grid, finest_grid(int(d), cosine))):
                     if len(at_rows):
                         part = b.take(pa.array(at[at_rows]))
                         n = len(at_rows)
@@ -124,31 +159,35 @@ class Unit:
     def __init__(self, x: np.ndarray, copies: np.ndarray, block: int, cosine: float) -> None:
         self.x = x / np.abs(x).max(axis=1, keepdims=True)
         self.norm = np.sqrt(np.einsum("ij,ij->i", self.x, self.x))
-        self.rot, self.copies, self.block, self.cosine = rotated(self.x), copies, block, cosine
+        self.rot, self.copies, self.cosine = rotated(self.x), copies, cosine
         self.bounds, self.most = blocks_of(x.shape[1]), budgets(x.shape[1], cosine)
+        self.blocks = range(len(self.most)) if block == EVERY else [block]
         self.links, self.forest = np.zeros(len(x), np.int64), C.Forest(len(x))
 
     def meet(self, a: np.ndarray, b: np.ndarray, same: bool = False) -> None:
         """Compare rows a with rows b; same: a is b, each pair once."""
         if not len(a) or not len(b):
             return
-        lo, hi = self.bounds[self.block : self.block + 2]
-        left, right = self.rot[a, lo:hi], self.rot[b, lo:hi]
-        sq = np.einsum("ij,ij->i", right, right)
-        for k in range(0, len(a), STRIP):
-            p = left[k : k + STRIP]
-            first = k if same else 0
-            dist = np.einsum("ij,ij->i", p, p)[:, None] + sq[first:] - 2 * (p @ right[first:].T)
-            i, j = np.nonzero(dist <= self.most[self.block] + SLACK)
-            if same:
-                i, j = i[j > i], j[j > i]
-            for v in range(0, len(i), VERIFY):
-                self.verify(a[k + i[v : v + VERIFY]], b[first + j[v : v + VERIFY]])
-
-    def verify(self, i: np.ndarray, j: np.ndarray) -> None:
+        for block in self.blocks:
+            lo, hi = self.bounds[block : block + 2]
+            left, right = self.rot[a, lo:hi], self.rot[b, lo:hi]
+            sq = np.einsum("ij,ij->i", right, right)
+            for k in range(0, len(a), STRIP):
+                p = left[k : k + STRIP]
+                first = k if same else 0
+                dist = p @ right[first:].T
+                dist *= -2
+                dist += sq[first:]
+                i, j = np.nonzero(dist <= (self.most[block] + SLACK - np.einsum("ij,ij->i", p, p))[:, None])
+                if same:
+                    i, j = i[j > i], j[j > i]
+                for v in range(0, len(i), VERIFY):
+                    self.verify(block, a[k + i[v : v + VERIFY]], b[first + j[v : v + VERIFY]])
+
+    def verify(self, block: int, i: np.ndarray, j: np.ndarray) -> None:
         part = np.add.reduceat((self.rot[i] - self.rot[j]) ** 2, self.bounds[:-1], axis=1)
         within = part <= self.most
-        mine = within[:, self.block] & ~within[:, : self.block].any(axis=1)
+        mine = within[:, block] & ~within[:, :block].any(axis=1)
         i, j = i[mine], j[mine]
         cos = np.einsum("ij,ij->i", self.x[i], self.x[j]) / (self.norm[i] * self.norm[j])
         i, j = i[cos >= self.cosine], j[cos >= self.cosine]
@@ -186,8 +225,26 @@ def _join(cosine: float):
     return run
 
 
-def near_duplicates(vectors: DataFrame, cosine: float = COSINE, tile_rows: int = TILE_ROWS) -> DataFrame:
-    """(vec_id, n_links, component_id, kept) per row of vectors(vec_id, embedding, label)."""
+def chosen_grid(reps: DataFrame, cosine: float, tile_rows: int) -> int:
+    """best_grid of reps(label, rep, embedding)."""
+    level = F.floor(F.log2("count") * 4)
+    labels = [(r["n"], r["m"]) for r in reps.groupBy("label").count().groupBy(level).agg(F.avg("count").alias("n"), F.count("*").alias("m")).collect()]  # 4 rows a power of two
+    n = sum(x * m for x, m in labels)
+    if not n:
+        return 0
+    space = 1 << 40
+    few = reps.where(F.pmod(F.xxhash64("rep"), F.lit(space)) < int(space * min(1.0, GRID_SAMPLE / n)))
+    dim = few.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").first()
+    if dim is None:
+        return 0
+    got = few.where(F.size("embedding") == dim["d"]).limit(2 * GRID_SAMPLE).select("embedding").toArrow().column(0).combine_chunks()
+    x = got.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(got), -1)
+    return best_grid(rotated(x / np.abs(x).max(axis=1, keepdims=True)), labels, cosine, tile_rows)
+
+
+def near_duplicates(vectors: DataFrame, cosine: float = COSINE, tile_rows: int = TILE_ROWS, grid: int | None = None) -> DataFrame:
+    """(vec_id, n_links, component_id, kept) per row of vectors(vec_id, embedding, label). grid: coordinates of a block that
+    are cut, or as best_grid says."""
     spark = vectors.sparkSession
     path = C.workspace(spark, "embdedup")
     kind = vectors.schema["embedding"].dataType
@@ -198,8 +255,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, tile_rows: int =
     v = v.withColumns({"h1": F.when(F.col("ok"), F.xxhash64("embedding")), "h2": F.when(F.col("ok"), F.xxhash64(F.lit(1), "embedding"))})
     same = ["label", "h1", "h2"]
     reps = C.materialize(v.where("ok").groupBy(*same).agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.first("embedding").alias("embedding")), f"{path}/reps")
-    most = reps.groupBy("label").count().agg(F.max("count")).first()[0] or 0
-    cells = reps.select("label", "rep", "copies", "embedding").mapInArrow(_spread(cosine, most, tile_rows), f"label long, dim int, block int, cell long, guest boolean, rep long, copies long, embedding {kind.simpleString()}")
+    cells = reps.select("label", "rep", "copies", "embedding").mapInArrow(_spread(cosine, chosen_grid(reps, cosine, tile_rows) if grid is None else grid), f"label long, dim int, block int, cell long, guest boolean, rep long, copies long, embedding {kind.simpleString()}")
     units = C.tiled(cells, KEYS, "rep", tile_rows, f"{path}/big")
     keys = [*KEYS, "ti", "tj"]
     found = units.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_join(cosine), "rep long, links long, root long")
