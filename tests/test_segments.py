@@ -2,6 +2,8 @@
 
 import random
 
+import pytest
+
 from tidemark.operators import segments as S
 
 PATCH = "diff --git a/x b/x\n@@ -1,3 +1,4 @@ fn\n a\n-b\n+c\n+d\n e\n@@ -10 +11,2 @@\n+f\n\\ No newline"
@@ -51,7 +53,7 @@ def test_bounded():
     lines = ["aa", "", "b" * 30, "cc", "日本語"]
     got = S.bounded(lines, 1, 10)
     assert got == [("aa\n", 1, 2, True, None), ("b" * 10, 3, 3, False, None), ("b" * 10, 3, 3, False, None), ("b" * 10, 3, 3, False, None), ("cc", 4, 4, True, None), ("日本語", 5, 5, True, None)]
-    assert S.bounded(["日"], 1, 2) == [("", 1, 1, False, "A code point exceeded the configured chunk budget.")]
+    assert S.bounded(["日"], 1, 2) == [("", 1, 1, False, "one character is larger than a chunk may be")]
     assert S.bounded([""], 1, 5) == [("", 1, 1, True, None)]
 
 
@@ -120,3 +122,26 @@ def test_search_is_a_plain_scan(spark):
         want += [(i, r, j, -x) for r, (x, j) in enumerate(sorted(s)[:20], 1)]
     got = semantic.search(vectors, queries, 20).select("query_id", "rank", "ordinal", "score").collect()
     assert sorted(map(tuple, got)) == sorted(want)
+
+
+#: Scripts and the (name, first line, last line) of their top-level declarations.
+SYMBOLS = [
+    ("const r = /[{(]/;\nfunction a() { return 1; }\nclass B {}\n", [("r", 1, 1), ("a", 2, 2), ("B", 3, 3)]),
+    ("const q = /\"'`\\//g, z = a / b / c;\nfunction f() {}\n", [("q,z", 1, 1), ("f", 2, 2)]),
+    ("function f() {\n  return /}/.test(x) ? `a${`b${ {k: '}'} }`}}` : 1;\n}\nenum E { A }\n", [("f", 1, 3), ("E", 4, 4)]),
+    ("// function no() {\n/* class No { */\nexport default class Yes {\n  m() { return a[0] / 2; } // }\n}\n", [("Yes", 3, 5)]),
+    ("export const a = () => {\n  const s = '{';\n};\nexport async function* g() {}\nexport type T = { a: string };\n", [("a", 1, 3), ("g", 4, 4), ("T", 5, 5)]),
+    ("interface I {\n  a: RegExp;\n}\ndeclare abstract class D {}\nlet x = 1 / 2, y = `${x}`;\n", [("I", 1, 3), ("D", 4, 4), ("x,y", 5, 5)]),
+    ("const open = `never closed ${ {\nfunction lost() {}\n", [("open", 1, 2)]),
+]
+
+
+@pytest.mark.parametrize(("source", "want"), SYMBOLS)
+def test_declarations(source, want):
+    assert [(n, a + 1, b) for n, a, b in S.declarations(source)] == want
+    assert len(S.masked(source)) == len(source) and S.masked(source).count("\n") == source.count("\n")
+
+
+def test_imports():
+    source = "import a from './a';\n// import x from 'no'\nimport { b,\n c } from \"b\";\nexport * from 'c';\nconst t = `\nimport y from 'no'\n`;\nimport d = require('d');\nimport 'e';\n"
+    assert S.imports_of(source, S.masked(source)) == ["./a", "b", "c", "require('d')", "e"]

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import text as T
 
-CHUNKER_VERSION = "tidemark-scan-v1"
+CHUNKER_VERSION = "tidemark-scan-v2"
 PROVIDER_DEFAULT = "provider-default"
 NUL = chr(0)
 

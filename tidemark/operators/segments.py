@@ -8,6 +8,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
 
@@ -181,12 +182,65 @@ def bounded(lines: list[str], first: int, max_tokens: int) -> list[tuple[str, in
 
 _DECLARES = re.compile(r"(?:export\s+)?(?:default\s+)?(?:declare\s+)?(?:abstract\s+)?(?:async\s+)?(?:(function)\s*\*?\s*([A-Za-z_$][\w$]*)|(?:class|interface|enum|const\s+enum)\s+([A-Za-z_$][\w$]*)|type\s+([A-Za-z_$][\w$]*)\s*[=<]|(?:const|let|var)\s+(?!enum\b)([A-Za-z_$][\w$]*))")
 _IMPORTS = re.compile(r"""^\s*(?:import\s+(?:[^'";]*?\bfrom\s*)?|export\s+[^'";]*?\bfrom\s*)["']([^"']+)["']|^\s*import\s+[\w$]+\s*=\s*(require\(\s*["'][^"']+["']\s*\)|[\w$.]+)""", re.M)
-_MASK = re.compile(r"""//[^\n]*|/\*.*?\*/|"(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`""", re.S)
+_TOKEN = re.compile(r"""(?P<space>\s+)|(?P<comment>//[^\n]*|/\*.*?(?:\*/|\Z))|(?P<string>"(?:\\.|[^"\\\n])*"?|'(?:\\.|[^'\\\n])*'?)|(?P<word>[A-Za-z_$][\w$]*)|(?P<number>\d[\w.]*)|(?P<sign>.)""", re.S)
+_PATTERN = re.compile(r"/(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\[\n])+/[A-Za-z]*")
+_TEMPLATE = re.compile(r"(?:\\.|\$(?!\{)|[^`\\$])*", re.S)
+#: Words after which a slash begins a pattern, not a division.
+_BEFORE_PATTERN = frozenset("return typeof case in of delete void throw new else do instanceof await yield".split())
 
 
 def masked(source: str) -> str:
-    """Source with comments, strings and templates blanked, line ends kept."""
-    return _MASK.sub(lambda m: re.sub(r"[^\n]", " ", m[0]), source)
+    """Source with comments, strings, patterns (regular expressions) and templates, with what is nested in them,
+    blanked; line ends are kept. One pass over the tokens."""
+    blank: list[tuple[int, int]] = []
+    inner: list[int] = []  # for each open template, the braces open in its current ${ }
+    at, value, outer = 0, False, 0  # value: a slash here would divide
+
+    def template(i: int) -> int:
+        """The end of the template's text from i: behind ${, which opens code, or behind its closing quote."""
+        nonlocal value
+        i = _TEMPLATE.match(source, i).end()
+        if source.startswith("${", i):
+            inner.append(0)
+            value = False
+            return i + 2
+        if not inner:
+            blank.append((outer, i + 1))
+        value = True
+        return i + 1
+
+    while at < len(source):
+        m = _TOKEN.match(source, at)
+        kind, text, end = m.lastgroup, m[0], m.end()
+        if kind == "sign" and text == "/" and not value and (p := _PATTERN.match(source, at)):
+            kind, end = "string", p.end()
+        if kind == "sign" and text == "`":
+            outer = at if not inner else outer
+            at = template(end)
+            continue
+        if kind == "sign" and text == "}" and inner and inner[-1] == 0:
+            inner.pop()
+            at = template(end)
+            continue
+        if kind in ("comment", "string") and not inner:
+            blank.append((at, end))
+        if kind == "sign" and inner and text in "{}":
+            inner[-1] += 1 if text == "{" else -1
+        if kind not in ("space", "comment"):
+            value = kind in ("string", "number") or (kind == "word" and text not in _BEFORE_PATTERN) or text in ")]}"
+        at = end
+    if inner:
+        blank.append((outer, len(source)))
+    out, done = [], 0
+    for a, b in blank:
+        out += [source[done:a], re.sub(r"[^\n]", " ", source[a:b])]
+        done = b
+    return "".join([*out, source[done:]])
+
+
+def imports_of(source: str, text: str) -> list[str]:
+    """Module names of a script's import and export statements; text: the source masked, where no comment has any."""
+    return [m[1] or m[2] for m in _IMPORTS.finditer(source) if not text[m.start() + len(m[0]) - len(m[0].lstrip())].isspace()]
 
 
 def declarations(source: str) -> list[tuple[str, int, int]]:
@@ -195,7 +249,8 @@ def declarations(source: str) -> list[tuple[str, int, int]]:
     text = masked(source)
     out, depth, at, n = [], 0, 0, len(text)
     fresh = True
-    line_of = lambda i: text.count("\n", 0, i)
+    ends = [m.start() for m in re.finditer("\n", text)]
+    line_of = lambda i: bisect_left(ends, i)
     while at < n:
         c = text[at]
         if c in "([{":
@@ -220,7 +275,7 @@ def declarations(source: str) -> list[tuple[str, int, int]]:
             if m[5]:
                 names += re.findall(r",\s*([A-Za-z_$][\w$]*)\s*(?::[^,=]+)?=", _flat(text[m.end() : end]))
             last = min(end, n - 1)
-            stop = line_of(last) + (0 if text[last] == "\n" else 1)
+            stop = line_of(last) + (0 if text[last] == "\n" and end < n else 1)
             out.append((",".join(names), line_of(at), max(stop, line_of(at) + 1)))
             at, fresh = end + 1, True
             continue
@@ -249,7 +304,7 @@ def chunk_text(path: str, content: str, max_tokens: int) -> list[dict]:
     lines = text.split("\n")
     ext = path.rsplit("/", 1)[-1].rpartition(".")[2].lower() if "." in path.rsplit("/", 1)[-1][1:] else ""
     lang = "typescript" if ext in ("ts", "tsx") else "javascript" if ext in ("js", "jsx", "mjs", "cjs") else "fallback"
-    imports = [a or b for a, b in _IMPORTS.findall(text)] if lang != "fallback" else []
+    imports = imports_of(text, masked(text)) if lang != "fallback" else []
     out: list[dict] = []
 
     def add(a: int, b: int, kind: str, name: str | None = None) -> None:

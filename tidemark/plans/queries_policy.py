@@ -101,9 +101,9 @@ def coverage_status(spark, d):
 
 
 @query("content_keys", """WITH c AS (SELECT doc_id, source, replace(source || '/' || lang, chr(92), '/') AS path, text, sha256(text) AS h FROM documents)
-SELECT doc_id, h AS content_hash, substr(sha256('repo' || chr(0) || 'rev1' || chr(0) || path || chr(0) || '1' || chr(0) || (doc_id % 90 + 1)::VARCHAR || chr(0) || h || chr(0) || 'tidemark-scan-v1'), 1, 24) AS chunk_id,
+SELECT doc_id, h AS content_hash, substr(sha256('repo' || chr(0) || 'rev1' || chr(0) || path || chr(0) || '1' || chr(0) || (doc_id % 90 + 1)::VARCHAR || chr(0) || h || chr(0) || 'tidemark-scan-v2'), 1, 24) AS chunk_id,
 sha256(path || chr(10) || '' || chr(10) || replace(text, chr(13) || chr(10), chr(10))) AS input_hash,
-sha256('{"inputHash":"' || sha256(path || chr(10) || '' || chr(10) || replace(text, chr(13) || chr(10), chr(10))) || '","provider":"det","model":"m","version":"v1","dimensions":64,"chunkerVersion":"tidemark-scan-v1","maxChunkTokens":800}') AS cache_key FROM c""")
+sha256('{"inputHash":"' || sha256(path || chr(10) || '' || chr(10) || replace(text, chr(13) || chr(10), chr(10))) || '","provider":"det","model":"m","version":"v1","dimensions":64,"chunkerVersion":"tidemark-scan-v2","maxChunkTokens":800}') AS cache_key FROM c""")
 def content_keys(spark, d):
     t = table(spark, d, "documents").withColumn("path", F.concat("source", F.lit("/"), "lang"))
     h = K.sha(F.col("text"))
