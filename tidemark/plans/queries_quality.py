@@ -124,7 +124,11 @@ def interval_overlap(spark, d):
     return metrics.overlaps(*_overlap(spark, d))
 
 
-@query("greedy_match")
+@query("greedy_match", f"""WITH RECURSIVE {_OV},
+m AS (SELECT x.case_id, e_no, list(o_no ORDER BY o_no) AS os, row_number() OVER (PARTITION BY x.case_id ORDER BY e_no) AS k FROM x JOIN o ON x.case_id = o.case_id AND x.path = o.path AND o.s <= x.e AND x.s <= o.e GROUP BY x.case_id, e_no),
+g(case_id, k, e_no, o_no, taken) AS (SELECT case_id, k, e_no, os[1], [os[1]] FROM m WHERE k = 1
+  UNION ALL SELECT m.case_id, m.k, m.e_no, list_filter(m.os, lambda v: NOT list_contains(g.taken, v))[1], list_append(g.taken, list_filter(m.os, lambda v: NOT list_contains(g.taken, v))[1]) FROM g JOIN m ON m.case_id = g.case_id AND m.k = g.k + 1)
+SELECT case_id, e_no, o_no FROM g WHERE o_no IS NOT NULL""")
 def greedy_match(spark, d):
     return metrics.match(*_overlap(spark, d))
 
