@@ -619,13 +619,23 @@ def test_pipeline_brute_force(spark, docs, sf_dir):
 
 
 def test_pipeline_on_tables(spark):
-    """run() against a plain Python version of stages 1, 3 and 4 and the packing's invariants."""
+    """run() against plain versions of its stages: SQL for the rules, loops for lines and fingerprints, the tokenizer
+    itself for the packing; the classifier's verdicts are held against the labels."""
+    import duckdb
+    import xxhash
+    from tokenizers import Tokenizer
+
     d = "/root/testdata/sf0.001"
     out = corpus_pipeline.run(spark, d).toPandas()
     docs = spark.read.parquet(f"{d}/documents.parquet")
-    good = {r.doc_id for r in rules.apply_rules(docs).where("kept").select("doc_id").collect()}
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{d}/documents.parquet'")
+    good = {i for i, kept in con.execute(f"SELECT doc_id, kept FROM ({rules.SQL})").fetchall() if kept}
+    passed = set(good)
     labels = spark.read.parquet(f"{d}/labels.parquet")
     good &= {r.doc_id for r in quality.classify(docs, quality.quality_labels(labels)).where("predicted = 1").select("doc_id").collect()}
+    said = {r.doc_id: r.quality for r in labels.collect() if r.doc_id in passed}
+    assert all(i in good for i, q in said.items() if q == 1) and sum(i in good for i, q in said.items() if q == 0) <= 1
     texts = {r.doc_id: r.text for r in docs.collect() if r.doc_id in good}
     strip = " \t\n\x0b\x0c\r"
     first = {}
@@ -633,7 +643,11 @@ def test_pipeline_on_tables(spark):
         for line in texts[i].split("\n"):
             first.setdefault(line.strip(strip).encode().lower(), i)
     texts = {i: "\n".join(x for x in t.split("\n") if len(x.strip(strip)) < 10 or first[x.strip(strip).encode().lower()] == i) for i, t in texts.items()}
-    fps = {i: simhash.simhash(t.encode().lower().split()) for i, t in texts.items()}
+    fps = {}
+    for i, t in texts.items():
+        ws = t.encode().lower().split()
+        hs = [xxhash.xxh64_intdigest(b" ".join(ws[k : k + 3]), 42) for k in range(max(1, len(ws) - 2))] if ws else []
+        fps[i] = sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs))
     alone, seen = set(), set()
     for i in sorted(fps):
         if i in seen:
@@ -648,7 +662,13 @@ def test_pipeline_on_tables(spark):
                     seen.add(j)
                     todo.append(j)
     assert set(out.doc_id) == alone
-    enc = packing.Encoder(packing.tokenizer_path())
+    t = Tokenizer.from_file(packing.tokenizer_path())
+    lengths = Counter()
     for i, g in out.groupby("doc_id"):
-        ids = np.append(np.frombuffer(enc.encode([texts[i]])[0], "<u4"), 2).astype("<u4")
+        ids = np.array([*t.encode(texts[i], add_special_tokens=False).ids, 2], "<u4")
+        lengths.update(packing.cut(len(ids), 1024)[k][1] for k in range(-(-len(ids) // 1024)))
         assert [zlib.crc32(ids[s : s + n].tobytes()) for s, n in zip(g.sort_values("piece").start, g.sort_values("piece").length, strict=True)] == g.sort_values("piece").ids_crc32.tolist()
+    assert lengths == Counter(out.length)
+    for _, g in out.sort_values("offset").groupby("sequence_id"):
+        assert g.offset.tolist() == [0, *np.cumsum(g.length)[:-1]] and g.length.sum() <= 1024
+    assert out.sequence_id.nunique() == lengths[1024] + sum(m for _, m in packing.solve({n: k for n, k in lengths.items() if n < 1024}, 1024))

@@ -7,6 +7,7 @@ import atexit
 import contextlib
 import ctypes
 import gc
+import itertools
 import os
 import tempfile
 import uuid
@@ -33,11 +34,13 @@ _made: list[tuple[SparkSession, str]] = []
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors' Python once per application."""
+    """Send this package to the executors' Python once per application.
+
+    It also lowers the session's Arrow batches from Spark's default of 10,000 rows to BATCH_ROWS, as the setting holds for
+    a whole session and rows here are whole texts; a session that has set another number keeps it."""
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
-    # rows hold whole texts: unless the session says otherwise, Arrow batches have fewer rows than by default
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
@@ -151,9 +154,10 @@ def crc_mod(doc_id: Column, n: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n
 
 
-def connected_components(edges: DataFrame, path: str, most: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, path: str) -> DataFrame:
     """(node, component) of every node of edges(src, dst: long), component the smallest node
-    reached. Alternating large-star and small-star steps; each round is written to `path`.
+    reached. Alternating large-star and small-star steps until nothing changes, which takes rounds in the
+    order of the logarithm of the nodes, squared at worst; each round is written to `path`.
 
     Every step takes a neighbourhood's minimum with partial aggregation and joins it back by a
     join that adaptive execution may split, so a node with very many links is no hot task."""
@@ -161,7 +165,7 @@ def connected_components(edges: DataFrame, path: str, most: int = 60) -> DataFra
     e = edges.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).where("u <> v").distinct()
     e = materialize(e, f"{path}/round-0")
     before = None
-    for k in range(1, most):
+    for k in itertools.count(1):
         both = e.unionByName(e.select(n("v").alias("u"), n("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")).select(opaque(n("u")).alias("u"), "m")
         large = both.join(low, "u").where("v > u").select(n("v").alias("u"), n("m").alias("v")).distinct()
@@ -172,8 +176,6 @@ def connected_components(edges: DataFrame, path: str, most: int = 60) -> DataFra
         if tuple(now) == before:
             break
         before = tuple(now)
-    else:
-        raise RuntimeError("components did not settle")
     return e.select(n("u").alias("node"), n("v").alias("component")).unionByName(e.select(n("v").alias("node"), n("v").alias("component")).distinct())
 
 

@@ -10,6 +10,8 @@ distance s in that order are compared all at once: plane XOR shifted plane, adde
 counters; words of 64 comparisons in which each lane is over the radius, or in another bucket, are
 abandoned. Equal fingerprints are one class before that, so copies are never compared.
 
+Very long texts are hashed whole, in parts. Ties: a bit set in exactly half the shingles is 0.
+
 Defined results. Null text: as empty. No words: fingerprint zero, linked like any other. Null
 doc_id: ordered after every id; a component of such rows only has a null component_id. Repeated
 rows: same fingerprint, same component. Empty table: empty result. Other columns are not read.
