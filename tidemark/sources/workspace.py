@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -18,4 +19,27 @@ def work_dir(spark: SparkSession, what: str) -> str:
             raise RuntimeError("spark.checkpoint.dir must name a folder that the whole cluster shares")
         sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="tidemark-"))
         found = sc.getCheckpointDir()
-    return f"{found.rstrip('/')}/tidemark-{what}-{uuid.uuid4().hex[:12]}"
+    path = f"{found.rstrip('/')}/tidemark-{what}-{uuid.uuid4().hex[:12]}"
+    _made.append((spark, path))
+    return path
+
+
+_made: list[tuple[SparkSession, str]] = []
+
+
+def clean(spark: SparkSession) -> None:
+    """Remove every work folder made so far; results that still read one end with that. The end of the driver does
+    the same; a long session calls it between jobs."""
+    while _made:
+        _, name = _made.pop()
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@atexit.register
+def _at_exit() -> None:
+    try:
+        if _made and _made[-1][0].sparkContext._jsc is not None:
+            clean(_made[-1][0])
+    except Exception:  # noqa: BLE001  the JVM may be gone already
+        pass
