@@ -42,7 +42,7 @@ COSINE, BLOCK_DIM, SEED = 0.93, 8, 20240229
 TILE_ROWS, STRIP, VERIFY = 16384, 256, 1 << 14
 SLACK = 1e-9
 #: Vectors that the grid is chosen on, and compared pairs that cost as much as sending a vector once.
-GRID_SAMPLE, SEND_COST = 20_000, 1000
+GRID_SAMPLE, SEND_COST = 20_000, 4000
 #: The block of a cell that stands for all blocks.
 EVERY = -1
 KEYS = ["label", "dim", "block", "cell"]
