@@ -298,3 +298,15 @@ def test_refresh_keeps_paid_vectors(spark, tmp_path):
     assert got["vectors_from_checkpoint"] == n_saved
     assert got["vectors_from_checkpoint"] + got["vectors_created"] == limit * 3
     assert indexing.saved_slices(spark, root) is None
+
+
+def test_settings():
+    from tidemark import cli
+    from tidemark.plans import review
+
+    assert review.Config.of({}) == review.Config()
+    assert review.Config.of({"max_files": "7", "threshold": "0.5", "top_k": "1000"}) == review.Config(max_files=7, threshold=0.5, top_k=1000)
+    for name, value in (("max_files", "0"), ("max_files", "1.5"), ("max_files", ""), ("threshold", "nan"), ("threshold", "1.1"), ("top_k", "1001"), ("colour", "1")):
+        with pytest.raises(ValueError):
+            review.Config.of({name: value})
+    assert cli.main(["--local", "--set", "max_files=none"]) == 64

@@ -21,6 +21,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--context", choices=["diff", "lexical", "hybrid"], default="lexical")
     p.add_argument("--format", choices=["text", "json", "sarif"], default="text")
     p.add_argument("--severity-threshold", choices=["high", "medium", "low", "none"], default="high")
+    p.add_argument("--set", action="append", default=[], metavar="NAME=VALUE", help="a setting of the review, such as max_files=50; may be repeated")
     return p
 
 
@@ -29,13 +30,16 @@ def main(argv: list[str] | None = None, model=None, embedding=None) -> int:
         a = parser().parse_args(argv)
         if a.local == bool(a.pull) or (a.pull and (len(a.pull) != 3 or not a.pull[2].isdigit() or int(a.pull[2]) < 1)) or (a.base and not a.local):
             raise ValueError("give either --local, or owner, repo and a positive number; --base needs --local")
+        from tidemark.plans import review
+
+        config = review.Config.of({k.strip(): v for k, _, v in (x.partition("=") for x in a.set)})
     except (argparse.ArgumentError, ValueError) as e:
         print(e, file=sys.stderr)
         return report.EXIT_USAGE
     from pyspark.sql import SparkSession
     from pyspark.sql import functions as F
 
-    from tidemark.plans import ports, review
+    from tidemark.plans import ports
     from tidemark.sources import changes, ignore, repository
 
     spark = SparkSession.builder.getOrCreate()
@@ -57,7 +61,6 @@ def main(argv: list[str] | None = None, model=None, embedding=None) -> int:
         pass
     rules = ignore.parse(text or "")
     chunks = None
-    config = review.Config()
     if a.context != "diff" or a.index:
         scanned = repository.scan(spark, f"file://{__import__('os').path.realpath(a.repo)}", rules)
         chunks = review.index_chunks(scanned.select("path", "content"), snapshot["repository_id"], snapshot["snapshot_id"], config.max_chunk_tokens)
