@@ -12,7 +12,8 @@ tokens, NOISE units drawn anew from the unigram distribution for each minibatch,
 noise-contrastive objective by Adagrad; after a round the tasks' parameters are averaged, weighted by
 tokens, and a next round starts from the mean. So that the tasks of the first round have a common direction, they
 start from what one task learns from texts of about WARM_TOKENS tokens, drawn by hash. Parameters travel as blocks of numbers that are summed
-in a shuffle, so the driver gets one model however many tasks there are.
+in a shuffle, so the driver gets one model however many tasks there are. A model follows how the table is dealt
+into tasks: the same files and settings give the same scores, others scores of the same quality.
 
 The normaliser of a context is a sum over units of exp(a near part) * exp(a far part): for all pairs of
 context units it is one product of two matrices, taken once, so that scoring a token costs three looked-up
