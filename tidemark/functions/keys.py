@@ -49,9 +49,13 @@ def excerpt_hash(path: Column, start: Column, end: Column, source: Column) -> Co
     return F.substring(sha(F.concat_ws(":", path, start.cast("string"), end.cast("string"), source)), 1, 16)
 
 
+#: What a finding's id begins with (fixed value).
+FINDING_PREFIX = "acr-"
+
+
 def finding_id(filename: Column, category: Column, title: Column, spans: Column) -> Column:
     """spans: array of path:start:end strings in order."""
-    return F.concat(F.lit("acr-"), F.substring(sha(joined(filename, category, T.normal_title(title), F.array_join(spans, "|"))), 1, 16))
+    return F.concat(F.lit(FINDING_PREFIX), F.substring(sha(joined(filename, category, T.normal_title(title), F.array_join(spans, "|"))), 1, 16))
 
 
 def review_cache_key(request: dict, provider: str, identity: str, versions: dict) -> str:

@@ -10,7 +10,7 @@ from tidemark.plans.registry import query, table
 
 
 def _added(spark, d):
-    """Documents of up to 3,000 characters as added files."""
+    """All documents, whole, as added files."""
     t = table(spark, d, "documents").select("doc_id", F.concat(F.lit("f"), F.col("doc_id").cast("string"), F.lit(".ts")).alias("filename"), "text")
     return t.withColumn("patch", T.synthetic_add_patch(F.col("filename"), F.col("text")))
 
