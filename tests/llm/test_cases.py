@@ -389,6 +389,8 @@ def test_lm_rounds_average_tasks(spark):
     again = lm.train(spark, df, 61 * len(seqs), words, noise, "t1", SMALL_LM, rounds=1)
     assert np.array_equal(one.flat(), again.flat())
     assert chance(lm.train(spark, df, 61 * len(seqs), words, noise, "t1", SMALL_LM, rounds=3)) > chance(one)
+    cold = lm.train(spark, df, 1 << 60, words, noise, "t1", SMALL_LM, rounds=1)  # nothing drawn to start from
+    assert chance(cold) > chance(lm.Params.start(v, noise))
 
 
 def test_sliced_pairs():

@@ -356,8 +356,8 @@ def train(spark: SparkSession, texts: DataFrame, n_tokens: int, words: list[byte
         learned = some.select("units").mapInArrow(_learn(shared, params.flat(), k), "block int, task int, tokens long, numbers binary")
         dealt = learned.repartition(n_blocks, "block").sortWithinPartitions("block", "task")
         got = dealt.mapInArrow(_mean_blocks, "block int, numbers binary").toArrow()  # one model
-        if not got.num_rows:
-            break
+        if not got.num_rows:  # no training texts, or none of a few very long ones was drawn to start from
+            continue
         by = dict(zip(got.column("block").to_pylist(), got.column("numbers").to_pylist(), strict=True))
         params = params.like(np.frombuffer(b"".join(by[x] for x in sorted(by)), "<f4"))
     return params
