@@ -1,5 +1,6 @@
 """Diff segments, source chunks and line budgets."""
 
+import dataclasses
 import random
 
 import pytest
@@ -145,3 +146,45 @@ def test_declarations(source, want):
 def test_imports():
     source = "import a from './a';\n// import x from 'no'\nimport { b,\n c } from \"b\";\nexport * from 'c';\nconst t = `\nimport y from 'no'\n`;\nimport d = require('d');\nimport 'e';\n"
     assert S.imports_of(source, S.masked(source)) == ["./a", "b", "c", "require('d')", "e"]
+
+
+def _naive_plan(patch, limit, cap):
+    """Segments by trying one line, and one character, more at a time."""
+    fits = lambda lines: len("\n".join(x.text for x in lines).encode()) + 1 <= cap
+    todo, groups, cut = S.parsed(patch), [], False
+    while todo:
+        if len(groups) == limit:
+            cut = True
+            break
+        n = 0
+        while n < len(todo) and fits(todo[: n + 1]):
+            n += 1
+        if n:
+            groups.append(todo[:n])
+            todo = todo[n:]
+            continue
+        line = todo.pop(0)
+        sign, body = (line.text[:1], line.text[1:]) if line.kind else ("", line.text)
+        piece = lambda text, tail: dataclasses.replace(line, text=sign + text + tail, complete=False)  # noqa: B023, E731
+        tail = S.NOT_CITABLE if fits([piece(body[:1], S.NOT_CITABLE)]) else ""
+        pieces = []
+        while body and len(pieces) < limit - len(groups):
+            k = 0
+            while k < len(body) and fits([piece(body[: k + 1], tail)]):
+                k += 1
+            if not k:
+                break
+            pieces.append(piece(body[:k], tail))
+            body = body[k:]
+        cut |= not pieces or bool(body)
+        todo = pieces + todo
+    return [S.segment(g, cut) for g in groups], cut
+
+
+def test_plan_by_brute_force():
+    rng = random.Random(12)
+    for _ in range(300):
+        body = [rng.choice("+- ") + "é日x"[rng.randrange(3)] * rng.choice([0, 1, 5, 20, 90]) for _ in range(rng.randrange(1, 9))]
+        patch = "\n".join(["@@ -1,9 +1,9 @@", *body, *rng.choice([[], ["\\ No newline at end of file"]])])
+        limit, cap = rng.randrange(1, 6), rng.choice([1, 3, 30, 60, 200])
+        assert S.plan(patch, limit, S.within(cap)) == _naive_plan(patch, limit, cap)
