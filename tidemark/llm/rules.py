@@ -2,7 +2,7 @@
 
 `measured` adds the counts as columns; THRESHOLDS names ratios of them with the least and greatest
 value a document may have, some of them only for documents they can be read of (stop words are of languages in Latin
-script, so the rule on them is for texts whose word characters are mostly Latin letters); `apply_rules` compiles the table into one boolean and the list of the
+script, so the rule on them is for texts of at most 1.5 bytes a character, as other scripts take about 2 or 3); `apply_rules` compiles the table into one boolean and the list of the
 rules that failed. Everything is a row-wise projection over the whole text: no shuffle at all.
 
 Words that repeat: the hashes of the 3-word windows are sorted with their positions, a window equal
@@ -50,11 +50,11 @@ THRESHOLDS = (
     Threshold("mean_word_length", "word_chars", "n_words", 2.0, 20.0),
     Threshold("symbols_per_word", "n_symbols", "n_words", None, 0.2),
     Threshold("exclamations_per_word", "n_exclamations", "n_words", None, 0.3),
-    Threshold("stop_words_per_word", "n_stop_words", "n_words", 0.02, None, ("n_latin", "word_chars", 0.5)),
+    Threshold("stop_words_per_word", "n_stop_words", "n_words", 0.02, None, ("n_text_chars", "n_text_bytes", 2 / 3)),
     Threshold("duplicate_lines", "n_dup_lines", "n_text_lines", None, 0.5),
 )
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-MEASURES = (*BASE, "n_exclamations", "n_stop_words", "n_text_lines", "n_latin")
+MEASURES = (*BASE, "n_exclamations", "n_stop_words", "n_text_lines", "n_text_chars", "n_text_bytes")
 
 
 def _count_chars(text: Column, chars: str) -> Column:
@@ -89,7 +89,8 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
         "n_exclamations": _count_chars(F.col("__t"), "!"),
         "n_stop_words": F.size(F.filter(w, lambda x: F.lower(x).isin(*STOP_WORDS))),
         "n_text_lines": F.size("__l"),
-        "n_latin": _count_chars(F.col("__t"), "A-Za-z"),
+        "n_text_chars": F.length("__t"),
+        "n_text_bytes": F.octet_length("__t"),
     }
     # inline() of one row: a filter on a measure stays above it. Pushed below, it would put the arrays'
     # expressions where each element computes them again
@@ -141,7 +142,7 @@ m AS (SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform
   (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines,
   coalesce(rep.n, 0)::BIGINT AS n_repeat_words, length(t) - length(replace(t, '!', '')) AS n_exclamations,
   len(list_filter(w, lambda x: lower(x) IN ({stops}))) AS n_stop_words, len(l) AS n_text_lines,
-  length(t) - length(regexp_replace(t, '[A-Za-z]', '', 'g')) AS n_latin FROM w LEFT JOIN rep USING (r)),
+  length(t) AS n_text_chars, strlen(t) AS n_text_bytes FROM w LEFT JOIN rep USING (r)),
 b AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND {" AND ".join(tests) or "true"} AS kept FROM b
 """
