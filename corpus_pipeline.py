@@ -25,6 +25,7 @@ def _carried(docs: DataFrame) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    C.lean(spark)  # what this stage returns is written, and read by the next, in small row groups
     return rules.apply_rules(_carried(docs)).where("kept").select("__row.*")
 
 

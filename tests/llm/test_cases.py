@@ -620,6 +620,27 @@ def test_pipeline_brute_force(spark, docs, sf_dir):
         assert stage(spark, docs.limit(0), sf_dir).count() == 0
 
 
+@pytest.mark.parametrize("k", range(4))
+def test_pipeline_row_groups(spark, docs, sf_dir, tmp_path, k):
+    """What a stage returns is written and read in small row groups and batches, whatever the size of a partition; a
+    session's own number stays."""
+    import pyarrow.parquet as pq
+
+    for name, _, _ in C.LEAN:
+        spark.conf.unset(name)
+    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", "300")
+    corpus_pipeline.STAGES[k][1](spark, docs, sf_dir)
+    assert spark.conf.get("spark.sql.parquet.columnarReaderBatchSize") == "300"
+    spark.conf.unset("spark.sql.parquet.columnarReaderBatchSize")
+    C.lean(spark)
+    assert spark.conf.get("spark.sql.parquet.columnarReaderBatchSize") == "256"
+    text = F.concat(*[F.sha2(F.concat_ws(" ", "id", F.lit(i)).cast("binary"), 512) for i in range(64)])  # 8 KB that don't compress
+    C.materialize(spark.range(6000).coalesce(1).select("id", text.alias("text")), f"file://{tmp_path}/t")
+    (part,) = (tmp_path / "t").glob("*.parquet")
+    meta = pq.ParquetFile(part).metadata
+    assert meta.num_rows == 6000 and max(meta.row_group(i).total_byte_size for i in range(meta.num_row_groups)) < 24e6
+
+
 def test_pipeline_on_tables(spark):
     """run() against plain versions of its stages: SQL for the rules, loops for lines and fingerprints, the tokenizer
     itself for the packing; the classifier's verdicts are held against the labels."""
